@@ -26,8 +26,13 @@ MOST_DOMAINS = 64
 LETTERS = "äöüßéèêçñóíwkhzujqpgbfmclrt"
 
 
-def letter_counts(text: Column) -> list[Column]:
-    low = F.lower(text)
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it and whatever projections Catalyst merges."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def letter_counts(low: Column) -> list[Column]:
+    """Counts in a lower-cased text."""
     size = F.length(low)
     counts = [(size - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("int") for c in LETTERS]
     return [*counts, size.cast("int")]
@@ -37,7 +42,7 @@ def _features(docs: DataFrame, domain: str) -> DataFrame:
     """doc_id, domain, tokens, counts (array<int>: the letters, then all characters)."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     name = docs[domain].cast("string") if domain in docs.columns else F.lit(None).cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), name.alias("domain"), token_count(text).alias("tokens"), F.array(*letter_counts(text)).alias("counts"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), name.alias("domain"), token_count(text).alias("tokens"), F.array(*letter_counts(F.lower(text))).alias("counts"))
 
 
 def token_count(text: Column) -> Column:
@@ -57,26 +62,38 @@ class Model:
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
-    def posterior(self, counts: Column) -> list[Column]:
-        """One column per domain; they add up to 1. A text without characters gets the priors."""
+    def posterior(self, counts: Column) -> Column:
+        """An array with one share per domain; they add up to 1. A text without characters gets the priors."""
         n = len(LETTERS)
-        size = F.element_at(counts, n + 1)
-        part = [F.element_at(counts, i + 1) for i in range(n)]
-        rest = size - sum(part[1:], part[0])
-        log = []
-        for prior, share in zip(self.prior, self.shares, strict=True):
-            total = sum((c * F.lit(w) for c, w in zip([*part, rest], share, strict=True)), F.lit(0.0))
-            log.append(F.lit(prior) + F.when(size > 0, total / size * F.lit(self.evidence)).otherwise(0.0))
-        top = F.greatest(*log) if len(log) > 1 else log[0]
-        weights = [F.exp(v - top) for v in log]
-        whole = sum(weights[1:], weights[0])
-        return [w / whole for w in weights]
-
-    def rate(self, posterior: list[Column]) -> Column:
+
+        def logs(c: Column) -> Column:
+            size = F.element_at(c, n + 1)
+            part = [F.element_at(c, i + 1) for i in range(n)]
+            part.append(size - sum(part[1:], part[0]))
+            each = []
+            for prior, share in zip(self.prior, self.shares, strict=True):
+                total = sum((x * F.lit(w) for x, w in zip(part, share, strict=True)), F.lit(0.0))
+                each.append(F.lit(prior) + F.when(size > 0, total / size * F.lit(self.evidence)).otherwise(0.0))
+            return F.array(*each)
+
+        def shares(log: Column) -> Column:
+            return let(F.array_max(log), lambda top: F.transform(log, lambda v: F.exp(v - top)))
+
+        def whole(weights: Column) -> Column:
+            return let(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), lambda total: F.transform(weights, lambda w: w / total))
+
+        return let(counts, lambda c: let(logs(c), lambda log: let(shares(log), whole)))
+
+    def rate(self, posterior: Column) -> Column:
         if not self.steps:
             return F.lit(1.0)
         history = F.array(*(F.array(*(F.lit(float(e)) for e in step)) for step in self.steps))
-        return F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - sum((p * e[k] for k, p in enumerate(posterior)), F.lit(0.0))))
+
+        def fold(p: Column) -> Column:
+            down = lambda e: sum((F.element_at(p, k + 1) * F.element_at(e, k + 1) for k in range(len(self.domains))), F.lit(0.0))
+            return F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - down(e)))
+
+        return let(posterior, fold)
 
 
 def _fit_classifier(features: DataFrame, labels: DataFrame, evidence: float) -> Model:
@@ -106,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, domain: str = "lang", weights: di
     """
     features = stored(_features(docs, domain), "mix-features")
     model = _fit_classifier(features, labels, evidence)
-    table = stored(features.select("doc_id", "tokens", F.array(*model.posterior(F.col("counts"))).alias("posterior")), "mix-posteriors")
+    table = stored(features.select("doc_id", "tokens", model.posterior(F.col("counts")).alias("posterior")), "mix-posteriors")
     k = range(len(model.domains))
     p = [F.element_at("posterior", i + 1) for i in k]
     first = table.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in k), *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k if i <= j)).first()
@@ -129,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, domain: str = "lang", weights: di
         if np.all(np.abs(now - aim) <= tolerance * np.maximum(aim, 0.01 * whole)):
             break
         model.steps.append((step * off / scale).tolist())
-        rate = model.rate(p)
+        rate = model.rate(F.col("posterior"))
         row = table.agg(*(F.sum(F.col("tokens") * p[i] * rate).alias(f"s{i}") for i in k)).first()
         now = np.array(list(row), float)
         model.reached = now.tolist()
@@ -154,15 +171,14 @@ def rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     names = F.array(*(F.lit(d) for d in model.domains))
     best = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
     shown = F.concat_ws(" ", *(F.concat(F.lit(f"{d}="), F.format_number(x, 4)) for d, x in zip(model.domains, p, strict=True)))
-    rated = table.withColumn("rate", model.rate(p))
+    rated = table.withColumn("rate", model.rate(F.col("posterior")))
     return rated.select("doc_id", "tokens", best.alias("domain"), shown.alias("posteriors"), "rate", copies(F.col("doc_id"), F.col("rate")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs with every row as often as its copies say (rates as in rates()), columns as given. The rate is computed in place: no join."""
     model, _ = fit(docs, labels, **options)
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rate = model.rate([F.element_at("_p", i + 1) for i in range(len(model.domains))])
-    out = docs.select("*", F.array(*letter_counts(text)).alias("_c")).select(*docs.columns, F.array(*model.posterior(F.col("_c"))).alias("_p"))
-    out = out.select(*docs.columns, copies(F.col("doc_id").cast("long"), rate).alias("_n")).where("_n > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).select(docs.columns)
+    low = F.lower(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rate = model.rate(model.posterior(let(low, lambda t: F.array(*letter_counts(t)))))
+    times = F.explode(F.array_repeat(F.lit(1), copies(docs["doc_id"].cast("long"), rate)))
+    return docs.select(*docs.columns, times.alias("_copy")).select(docs.columns)
