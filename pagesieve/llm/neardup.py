@@ -9,7 +9,10 @@ Rounds. Round one confirms, for every set, the edge to the smallest centre among
 the other star edges whose ends are still apart. After that a bucket can only hide a link if it holds
 three or more sets in two or more components: those buckets are re-starred from further centres, twice as
 many each round, until all their members are in one component or every pair that was apart was tested.
-So no cap applies, and only members that are not already linked cost another comparison.
+Before that, shingles that only one set of those buckets holds are counted: a set of n shingles, m of them
+held by others too, shares at most m with any of them, which rules out sets and pairs exactly. Members of a
+large family with many edits of their own fall away so, each after a few comparisons. No cap applies, and
+only members that may still be linked cost another comparison.
 
 A link between sets of Jaccard similarity 0.8 is missed only if none of 40 bands of 5 rows collide:
 (1 - 0.8**5)**40 < 2e-7.
@@ -123,6 +126,18 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "blob"])
 
 
+def _exploded(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unzip = WordHashes(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                sets = [shingle_set(unzip.decompress(b).split(), hashes, size) for b in part.column(1).to_pylist()]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["node", "shingle"])
+
+    return run
+
+
 def _confirm(size: int, share: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unzip = WordHashes(), zstandard.ZstdDecompressor()
@@ -197,21 +212,30 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words:
         comps = extend(rest)
     tested = stars
     # pairs without a centre: only in buckets that still hold members apart from each other
-    mixed = labelled(members.where("node <> centre"), comps, "node", "c")
-    bad = mixed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    left = stored(mixed.join(bad, "bucket").select("bucket", "node", "n", "c", F.row_number().over(W.partitionBy("bucket").orderBy("node")).alias("rank")), "neardup-left")
+    def unsettled(df: DataFrame) -> DataFrame:
+        bad = df.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        return df.join(bad, "bucket")
+
+    mixed = stored(unsettled(labelled(members.where("node <> centre").select("bucket", "node", "n"), comps, "node", "c")), "neardup-mixed")
+    # shingles that no other of these sets holds bound what a set can share with any of them
+    nodes = mixed.select("node").distinct()
+    held = texts.join(nodes, "node", "left_semi").mapInArrow(_exploded(shingle_words), "node long, shingle long")
+    lone = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    able = mixed.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    able = able.where(F.col("shared") * share.denominator >= F.col("n") * share.numerator)
+    left = unsettled(able).select("bucket", "node", "n", "shared", "c", F.row_number().over(W.partitionBy("bucket").orderBy("node")).alias("rank"))
+    left = stored(left, "neardup-left")
+    most = F.least("shared", "v_shared") * (share.numerator + share.denominator) >= (F.col("n") + F.col("v_n")) * share.numerator
     low, width = 1, 1
     while not left.isEmpty():
-        cs = left.where(F.col("rank").between(low, low + width - 1)).select("bucket", F.col("node").alias("v"), F.col("n").alias("centre_n"), F.col("c").alias("vc"), F.col("rank").alias("vr"))
-        pairs = left.join(cs, "bucket").where("rank > vr and c <> vc").where(fits).select(F.col("node").alias("u"), "v").distinct()
+        cs = left.where(F.col("rank").between(low, low + width - 1)).select("bucket", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("shared").alias("v_shared"), F.col("c").alias("vc"), F.col("rank").alias("vr"))
+        pairs = left.join(cs, "bucket").where("rank > vr and c <> vc").where(most).select(F.col("node").alias("u"), "v").distinct()
         pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"), "neardup-pairs")
         if not pairs.isEmpty():
             comps = extend(pairs)
             tested = stored(tested.unionAll(pairs), "neardup-tested")
         low, width = low + width, width * 2
-        again = labelled(left.where(F.col("rank") >= low).select("bucket", "node", "n", "rank"), comps, "node", "c")
-        bad = again.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        left = stored(again.join(bad, "bucket"), "neardup-left")
+        left = stored(unsettled(labelled(left.where(F.col("rank") >= low).drop("c"), comps, "node", "c")), "neardup-left")
 
     labels = labelled(sets.select("digest", "node"), comps, "node", "component_id").select("digest", "component_id")
     out = rows_.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
