@@ -5,14 +5,14 @@ One-permutation hashing with optimal densification gives each distinct shingle s
 confirmed on the full shingle sets, and connected components follow. Rows with equal sets collapse
 first, so a group of exact copies of any size costs one signature.
 
-Rounds. Round one confirms, for every set, the edge to the smallest centre among its buckets; round two
-the other star edges whose ends are still apart. After that a bucket can only hide a link if it holds
-three or more sets in two or more components: those buckets are re-starred from further centres, twice as
-many each round, until all their members are in one component or every pair that was apart was tested.
-Before that, shingles that only one set of those buckets holds are counted: a set of n shingles, m of them
-held by others too, shares at most m with any of them, which rules out sets and pairs exactly. Members of a
-large family with many edits of their own fall away so, each after a few comparisons. No cap applies, and
-only members that may still be linked cost another comparison.
+Round one confirms, for every set, the edge to the smallest centre among its buckets; round two the other
+star edges whose ends are still apart. After that a bucket can only hide a link if it holds three or more
+sets in two or more components. Of those, shingles that only one set holds are counted: a set of n shingles,
+m of them held by others too, shares at most m with any, which rules out sets with many edits of their own.
+Buckets that still hold sets apart from each other form families (sets connected by buckets). Round three
+compares, in blocks of 256 sets, those outside a family's largest component with the whole family; a block
+pair is one matrix product and emits only links that join components. So no cap applies and no pairs are
+listed, and members that star edges have linked already cost nothing more.
 
 A link between sets of Jaccard similarity 0.8 is missed only if none of 40 bands of 5 rows collide:
 (1 - 0.8**5)**40 < 2e-7.
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import id_text, stored
 from .components import connected
@@ -35,6 +35,7 @@ from .components import connected
 BANDS, ROWS, SHINGLE = 40, 5, 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WORDS_KEPT = 300_000
+_BLOCK = 256
 
 
 class WordHashes(dict):
@@ -159,6 +160,70 @@ def _confirm(size: int, share: Fraction):
     return run
 
 
+def _between(able: DataFrame, texts: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """Links (u, v) that join components of a family. able: bucket, node, c (its component)."""
+    low = able.groupBy("bucket").agg(F.min("node").alias("v"))
+    family = connected(able.join(low, "bucket").select(F.col("node").alias("u"), "v")).select("node", F.col("component").alias("family"))
+    sets = able.select("node", "c").distinct().join(family, "node")
+    sets = stored(sets, "neardup-families")
+    parts = sets.groupBy("family", "c").agg(F.count("*").alias("k"))
+    about = parts.groupBy("family").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("all"))
+    about = about.where("inside < all").withColumns({"xs": F.ceil((F.col("all") - F.col("inside")) / _BLOCK), "ys": F.ceil(F.col("inside") / _BLOCK)})
+    sets = sets.join(about, "family").withColumn("x", F.col("c") != F.col("main"))
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("x"), F.col("xs")).otherwise(F.col("ys"))))
+    sets = sets.select("node", "c", "family", "x", "block", "xs", "ys").join(texts, "node")
+    column = ["family", "i", "other", "j", "asks", "node", "c", "blob"]
+    every = lambda first, last: F.explode(F.sequence(first, last))
+    outside, zero = sets.where("x"), F.lit(0).cast("long")
+    asks_x = outside.select("*", F.col("block").alias("i"), F.lit(True).alias("other"), F.lit(True).alias("asks"), every(F.col("block"), F.col("xs") - 1).alias("j"))
+    asks_y = outside.select("*", F.col("block").alias("i"), F.lit(False).alias("other"), F.lit(True).alias("asks"), every(zero, F.col("ys") - 1).alias("j"))
+    told_x = outside.select("*", F.col("block").alias("j"), F.lit(True).alias("other"), F.lit(False).alias("asks"), every(zero, F.col("block")).alias("i"))
+    told_y = sets.where("not x").select("*", F.col("block").alias("j"), F.lit(False).alias("other"), F.lit(False).alias("asks"), every(zero, F.col("xs") - 1).alias("i"))
+    rows = asks_x.select(column).unionAll(asks_y.select(column)).unionAll(told_x.select(column)).unionAll(told_y.select(column))
+    return rows.groupBy("family", "i", "other", "j").applyInArrow(_block_links(size, share), "u long, v long")
+
+
+def _block_links(size: int, share: Fraction):
+    def run(table: pa.Table) -> pa.Table:
+        hashes, unzip = WordHashes(), zstandard.ZstdDecompressor()
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        node, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "c"))
+        sets = [shingle_set(unzip.decompress(b).split(), hashes, size) for b in table.column("blob").to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        us: list[int] = []
+        vs: list[int] = []
+        if len(a) and len(b):
+            both = np.intersect1d(np.unique(np.concatenate([sets[k] for k in a])), np.unique(np.concatenate([sets[k] for k in b])), assume_unique=True)
+            shared = np.zeros((len(a), len(b)), np.float32)
+            for at in range(0, len(both), 4096):
+                chunk = both[at : at + 4096]
+                grids = [np.zeros((len(side), len(chunk)), np.float32) for side in (a, b)]
+                for grid, side in zip(grids, (a, b), strict=True):
+                    for row, k in enumerate(side):
+                        inside = sets[k][np.searchsorted(sets[k], chunk[0]) : np.searchsorted(sets[k], chunk[-1], side="right")]
+                        where = np.minimum(np.searchsorted(chunk, inside), len(chunk) - 1)
+                        grid[row, where[chunk[where] == inside]] = 1
+                shared += grids[0] @ grids[1].T
+            linked = shared.astype(np.int64) * (share.numerator + share.denominator) >= share.numerator * (sizes[a][:, None] + sizes[b][None, :])
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for i, j in zip(*np.nonzero(linked & (comp[a][:, None] != comp[b][None, :])), strict=True):
+                x, y = find(int(comp[a[i]])), find(int(comp[b[j]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    us.append(int(node[a[i]]))
+                    vs.append(int(node[b[j]]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id) for every row.
 
@@ -202,15 +267,13 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words:
         p = labelled(labelled(pairs, comps, "u", "cu"), comps, "v", "cv")
         return p.where("cu <> cv").select("u", "v")
 
-    def extend(pairs: DataFrame) -> DataFrame:
-        new = confirmed(pairs).select("u", "v")
+    def extend(new: DataFrame) -> DataFrame:
         found = stored(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(new), "neardup-links")
         return stored(connected(found), "neardup-components")
 
     rest = stored(apart(stars.join(first, ["u", "v"], "left_anti")), "neardup-pairs")
     if not rest.isEmpty():
-        comps = extend(rest)
-    tested = stars
+        comps = extend(confirmed(rest))
     # pairs without a centre: only in buckets that still hold members apart from each other
     def unsettled(df: DataFrame) -> DataFrame:
         bad = df.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
@@ -222,20 +285,10 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words:
     held = texts.join(nodes, "node", "left_semi").mapInArrow(_exploded(shingle_words), "node long, shingle long")
     lone = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("lone"))
     able = mixed.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-    able = able.where(F.col("shared") * share.denominator >= F.col("n") * share.numerator)
-    left = unsettled(able).select("bucket", "node", "n", "shared", "c", F.row_number().over(W.partitionBy("bucket").orderBy("node")).alias("rank"))
-    left = stored(left, "neardup-left")
-    most = F.least("shared", "v_shared") * (share.numerator + share.denominator) >= (F.col("n") + F.col("v_n")) * share.numerator
-    low, width = 1, 1
-    while not left.isEmpty():
-        cs = left.where(F.col("rank").between(low, low + width - 1)).select("bucket", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("shared").alias("v_shared"), F.col("c").alias("vc"), F.col("rank").alias("vr"))
-        pairs = left.join(cs, "bucket").where("rank > vr and c <> vc").where(most).select(F.col("node").alias("u"), "v").distinct()
-        pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"), "neardup-pairs")
-        if not pairs.isEmpty():
-            comps = extend(pairs)
-            tested = stored(tested.unionAll(pairs), "neardup-tested")
-        low, width = low + width, width * 2
-        left = stored(unsettled(labelled(left.where(F.col("rank") >= low).drop("c"), comps, "node", "c")), "neardup-left")
+    able = able.where(F.col("shared") * share.denominator >= F.col("n") * share.numerator).select("bucket", "node", "c")
+    able = stored(unsettled(able), "neardup-able")
+    if not able.isEmpty():
+        comps = extend(_between(able, texts, shingle_words, share))
 
     labels = labelled(sets.select("digest", "node"), comps, "node", "component_id").select("digest", "component_id")
     out = rows_.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
