@@ -8,7 +8,7 @@ is shifted so that a score of 0.3 separates best.
 
 Dictionary content is picked by contrast. Of all 6-byte strings inside words, those are kept whose support
 (the smaller of document count and distinct surroundings, so that copies count once) is significantly and
-at least 20 times more frequent in toxic text; their maximal runs, most frequent last, are the toxic
+at least 8 times more frequent in toxic text; their maximal runs, most frequent last, are the toxic
 dictionary. The ordinary one holds the most frequent words of ordinary text, to the same length.
 
 Training uses a bounded sample: the ``max_toxic`` and ``max_ordinary`` labelled documents of smallest hash.
@@ -100,7 +100,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192)
         o = np.where(og[at] == tg, np.minimum(on[at], no), 0).astype(float)
     p = (t + o) / (nt + no)
     g2 = 2 * (t * np.log(t / nt / p) + np.where(o > 0, o * np.log(np.maximum(o, 1) / no / p), 0))
-    chosen = tg[(g2 > 1.3 * math.log(len(tg) + len(og) + 2)) & (t / nt >= 20 * o / no)]
+    chosen = tg[(g2 > 1.3 * math.log(len(tg) + len(og) + 2)) & (t / nt >= 8 * o / no)]
     runs: Counter[bytes] = Counter()
     for text in toxic:
         b = normalised(text)
