@@ -303,7 +303,8 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
     """
     marks = stored(near_duplicates(docs, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("_times")), "neardup-marks")
     kept = marks.where("doc_id is not null").select("doc_id")
-    out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    # the same merge join at every size: no table of kept ids is ever sent to all executors
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if not marks.where("doc_id is not null and _times > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionAll(docs.where("doc_id is null"))
