@@ -375,8 +375,8 @@ def quote_verify(spark, d):
     pages = table(spark, d, "documents").select("doc_id", tx.match_form(F.col("text")).alias("page"))
     # candidates by an equi-join on the first two words of the quote: a quote on the page has them side by side
     words = F.split("page", " ")
-    pair = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
-    grams = pages.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), pair))).alias("key"))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    grams = pages.select("doc_id", F.explode(F.array_distinct(pairs)).alias("key"))
     q = quotes.withColumn("key", F.substring_index("quote", " ", 2))
     found = grams.join(q.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
     return found.join(q, "item_id").join(pages, "doc_id").where(tx.quote_on_page(F.col("quote"), F.col("page"), 1.0)).select("item_id", "doc_id")
