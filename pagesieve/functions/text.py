@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -14,10 +15,26 @@ def _java_quote(term: str) -> str:
     return re.sub(r"([\\.*+?()\[\]{}^$|])", r"\\\1", term)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once, also inside lambdas, where Spark does not share subexpressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _branches(terms: list[str]) -> str:
+    """Alternation by first character, so that a position looks at few terms; longer terms come first."""
+    heads: dict[str, list[str]] = {}
+    for t in terms:
+        heads.setdefault(t[:1], []).append(t[1:])
+    last = "" in heads
+    out = [_java_quote(h) + (f"(?:{_branches(rest)})" if len(rest) > 1 else _java_quote(rest[0])) for h, rest in sorted(heads.items()) if h]
+    return "|".join(out + [""] * last)
+
+
 def lexicon_regex(terms: list[str]) -> str:
-    """Longest term first, between word boundaries, in any case."""
-    ordered = sorted({t.lower() for t in terms}, key=lambda t: (-len(t), t))
-    return rf"(?iU)(?<!\w)({'|'.join(map(_java_quote, ordered))})(?!\w)"
+    """Longest term first, between word boundaries, in any case. A look at the first character spares most positions the rest."""
+    known = sorted({t.lower() for t in terms if t})
+    heads = "".join(h if h.isalnum() else f"\\{h}" for h in sorted({t[0] for t in known}))
+    return rf"(?iU)(?=[{heads}])(?<!\w)({_branches(known)})(?!\w)"
 
 
 def lexicon_hits(text: Column, terms: list[str]) -> Column:
@@ -73,13 +90,20 @@ def clean_emails(found: Column) -> Column:
 
 
 def plain_emails(text: Column) -> Column:
-    return clean_emails(F.regexp_extract_all(text, F.lit(lx.EMAIL), 1))
+    return clean_emails(found_emails(text))
+
+
+def found_emails(text: Column) -> Column:
+    """Plain addresses as they stand; texts without the sign skip the search."""
+    return F.when(~F.contains(text, F.lit("@")), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(lx.EMAIL), 1))
 
 
 def obfuscated_emails(text: Column) -> Column:
     rx = F.lit("(?iu)" + lx.OBFUSCATED)
     pairs = F.arrays_zip(F.regexp_extract_all(text, rx, 1).alias("l"), F.regexp_extract_all(text, rx, 2).alias("d"))
-    return clean_emails(F.transform(pairs, lambda p: F.concat(p["l"], F.lit("@"), F.regexp_replace(p["d"], "(?iu)" + lx.DOT, "."))))
+    found = F.transform(pairs, lambda p: F.concat(p["l"], F.lit("@"), F.regexp_replace(p["d"], "(?iu)" + lx.DOT, ".")))
+    # every match holds the sign's stand-in, which is quick to rule out
+    return clean_emails(F.when(~text.rlike("(?iu)" + lx.OBFUSCATED_SIGN), F.array().cast("array<string>")).otherwise(found))
 
 
 def decode_protected(hexed: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import lexicons as lx
+from .text import bound
 
 _PARTS = r"^(?i)(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -39,18 +40,21 @@ def _clean_query(query: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Canonical form of an absolute http(s) URL, else NULL."""
-    u = F.trim(url)
-    skipped = F.lit(False)
-    for prefix in lx.SKIP_PREFIXES:
-        skipped = skipped | F.lower(u).startswith(prefix)
-    scheme = F.lower(_part(u, 1))
-    host, port = _host_port(_part(u, 2))
-    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    valid = (F.length(port) <= 5) & (F.coalesce(F.try_to_number(F.when(port == "", "0").otherwise(port), F.lit("99999")), F.lit(0)) <= 65535)
-    path = F.when(_part(u, 3) == "", "/").otherwise(_clean_path(_part(u, 3)))
-    query = _clean_query(_part(u, 4))
-    out = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(~skipped & (scheme != "") & (host != "") & valid, out)
+    skipped = r"(?i)^(" + "|".join(lx.SKIP_PREFIXES) + ")"
+
+    def assembled(p: Column) -> Column:
+        usual = (p["port"] == "") | ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
+        valid = (F.length(p["port"]) <= 5) & (F.coalesce(F.try_to_number(F.when(p["port"] == "", "0").otherwise(p["port"]), F.lit("99999")), F.lit(0)) <= 65535)
+        port = F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"]))
+        query = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
+        return F.when((p["scheme"] != "") & (p["host"] != "") & valid, F.concat(p["scheme"], F.lit("://"), p["host"], port, p["path"], query))
+
+    def parts(u: Column) -> Column:
+        host, port = _host_port(_part(u, 2))
+        path = bound(_part(u, 3), lambda x: F.when(x == "", "/").otherwise(_clean_path(x)))
+        return F.struct(F.lower(_part(u, 1)).alias("scheme"), host.alias("host"), port.alias("port"), path.alias("path"), _clean_query(_part(u, 4)).alias("query"))
+
+    return bound(F.trim(url), lambda u: F.when(~u.rlike(skipped), bound(parts(u), assembled)))
 
 
 def host_of(url: Column) -> Column:
@@ -100,23 +104,27 @@ def slug(text: Column, limit: int = 40) -> Column:
 
 def profile_kind(url: Column) -> Column:
     """Kind of a link to a person's profile page, else NULL; the first host that fits decides."""
-    host, path, query = host_of(url), path_of(url), _part(url, 4)
-    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    ok = {
-        "linkedin": path.startswith("/in/") | path.startswith("/pub/"),
-        "github": slashes.isin(1, 2) & (F.regexp_replace(path, "^/+|/+$", "") != "") & ~path.rlike("^/(orgs/|topics/|features|about)"),
-        "google_scholar": query.contains("user="),
-        "orcid": path.rlike(r"^/\d{4}-\d{4}-\d{4}-\d{3}[\dX]"),
-        "researchgate": path.startswith("/profile/"),
-        "dblp": path.startswith("/pid/") | path.startswith("/pers/"),
-        "semantic_scholar": path.startswith("/author/"),
-        "x": (slashes == 1) & (F.length(path) > 1) & ~F.substring(path, 2, 1000).isin("share", "intent", "home", "search"),
-        "bluesky": path.startswith("/profile/"),
-    }
-    out = F.lit(None).cast("string")
-    for kind, pattern in reversed(lx.PROFILE_HOSTS.items()):
-        out = F.when(host.rlike(pattern), F.when(ok[kind], kind)).otherwise(out)
-    return out
+
+    def kind_of(p: Column) -> Column:
+        host, path, query = p["host"], p["path"], p["query"]
+        slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+        ok = {
+            "linkedin": path.startswith("/in/") | path.startswith("/pub/"),
+            "github": slashes.isin(1, 2) & (F.regexp_replace(path, "^/+|/+$", "") != "") & ~path.rlike("^/(orgs/|topics/|features|about)"),
+            "google_scholar": query.contains("user="),
+            "orcid": path.rlike(r"^/\d{4}-\d{4}-\d{4}-\d{3}[\dX]"),
+            "researchgate": path.startswith("/profile/"),
+            "dblp": path.startswith("/pid/") | path.startswith("/pers/"),
+            "semantic_scholar": path.startswith("/author/"),
+            "x": (slashes == 1) & (F.length(path) > 1) & ~F.substring(path, 2, 1000).isin("share", "intent", "home", "search"),
+            "bluesky": path.startswith("/profile/"),
+        }
+        out = F.lit(None).cast("string")
+        for kind, pattern in reversed(lx.PROFILE_HOSTS.items()):
+            out = F.when(host.rlike(pattern), F.when(ok[kind], kind)).otherwise(out)
+        return out
+
+    return bound(F.struct(host_of(url).alias("host"), path_of(url).alias("path"), _part(url, 4).alias("query")), kind_of)
 
 
 def tokens_of(text: Column) -> Column:

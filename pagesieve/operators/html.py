@@ -177,7 +177,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def emails(page: DataFrame) -> Column:
     """Addresses of a parsed page: mail links, protected ones, plain, obfuscated."""
     hidden = F.filter(F.transform(page["protected"], tx.decode_protected), lambda e: e.isNotNull())
-    plain = F.regexp_extract_all(page["raw_text"], F.lit(lx.EMAIL), 1)
+    plain = tx.found_emails(page["raw_text"])
     return F.array_union(tx.clean_emails(F.concat(page["mailto"], hidden, plain)), tx.obfuscated_emails(page["raw_text"]))
 
 

@@ -15,7 +15,8 @@ def analysed(pages: DataFrame, profile: dc.Profile, terms: dict[str, list[str]]
     p = html.parsed(pages)
     p = p.withColumns({"canonical": F.coalesce(urls.canonical(F.col("url")), F.col("url")), "emails": html.emails(p)})
     p = p.withColumn("signals", tx.signals(F.concat_ws("\n", "title", "text"), profile.terms(), terms.get("position"), terms.get("funding"), terms.get("negative")))
-    known = F.filter(F.transform("links", lambda x: F.struct(urls.profile_kind(urls.canonical(x["url"])).alias("kind"), urls.canonical(x["url"]).alias("url"))), lambda x: x["kind"].isNotNull())
+    targets = F.transform("links", lambda x: urls.canonical(x["url"]))
+    known = F.filter(F.transform(targets, lambda u: F.struct(urls.profile_kind(u).alias("kind"), u.alias("url"))), lambda x: x["kind"].isNotNull())
     people = F.filter("links", lambda x: x["url"].rlike("/(people|person|staff|team|members|profile)/"))
     p = p.withColumns({"profiles": known, "n_people": F.size(F.array_distinct(F.transform(people, lambda x: x["url"])))})
     p = stored(p, "pages-analysed")
