@@ -7,8 +7,9 @@ advantages and their sum go through a logistic calibration fitted on other label
 is shifted so that a score of 0.3 separates best.
 
 Dictionary content is picked by contrast. Of all 6-byte strings inside words, those are kept whose support
-(the smaller of document count and distinct surroundings, so that copies count once) is significantly and
-at least 8 times more frequent in toxic text; their maximal runs, most frequent last, are the toxic
+(the smaller of document count and distinct surroundings, so that copies count once) is significantly more
+frequent in toxic text, by a factor chosen from FACTORS by cross-validated loss on the calibration documents (a
+part of the training rows; held-out rows take no part). Their maximal runs, most frequent last, are the toxic
 dictionary. The ordinary one holds the most frequent words of ordinary text, to the same length.
 
 Training uses a bounded sample: the ``max_toxic`` and ``max_ordinary`` labelled documents of smallest hash.
@@ -32,6 +33,7 @@ from .common import id_text
 
 K = 6
 CUT = 0.3
+FACTORS = (20, 8, 4, 2)
 _FRAME = (b"\x01<|window|>\x02", b"\x01\x02\x03\x04\x05\x06\x07\x08")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _REMEMBERED = 300_000
@@ -88,7 +90,7 @@ def _support(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(g[new], return_counts=True)
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192, factor: float = 8) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionary contents of equal length."""
     toxic, ordinary = sorted(set(filter(None, toxic))), sorted(set(filter(None, ordinary)))
     (tg, tn), (og, on) = _support(toxic), _support(ordinary)
@@ -100,7 +102,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 8192)
         o = np.where(og[at] == tg, np.minimum(on[at], no), 0).astype(float)
     p = (t + o) / (nt + no)
     g2 = 2 * (t * np.log(t / nt / p) + np.where(o > 0, o * np.log(np.maximum(o, 1) / no / p), 0))
-    chosen = tg[(g2 > 1.3 * math.log(len(tg) + len(og) + 2)) & (t / nt >= 8 * o / no)]
+    chosen = tg[(g2 > 1.3 * math.log(len(tg) + len(og) + 2)) & (t / nt >= factor * o / no)]
     runs: Counter[bytes] = Counter()
     for text in toxic:
         b = normalised(text)
@@ -174,15 +176,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def _crossed_loss(x: np.ndarray, y: np.ndarray, folds: int = 4) -> float:
+    """Mean log loss on calibration documents when each fold is judged by the others; classes are dealt evenly."""
+    part = np.zeros(len(y), int)
+    for label in (0, 1):
+        part[y == label] = np.arange((y == label).sum()) % folds
+    x = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    loss = 0.0
+    for k in range(folds):
+        w, b = _logistic(x[part != k], y[part != k])
+        p = np.clip(1 / (1 + np.exp(-np.clip(x[part == k] @ w + b, -30, 30))), 1e-6, 1 - 1e-6)
+        loss -= float(np.sum(np.where(y[part == k] == 1, np.log(p), np.log(1 - p))))
+    return loss / len(y)
+
+
 def fit(samples: list[tuple[str, int, bool]]) -> Model:
     """samples: (text, toxic, for calibration). Without any toxic or ordinary sample every score is the base rate or 0."""
     train, check = [s for s in samples if not s[2]], [s for s in samples if s[2]]
-    toxic, ordinary = train_dictionaries([t for t, y, _ in train if y], [t for t, y, _ in train if not y])
+    sides = [t for t, y, _ in train if y], [t for t, y, _ in train if not y]
     y = np.array([s[1] for s in check], float)
     if not len(y) or y.min() == y.max():
+        toxic, ordinary = train_dictionaries(*sides)
         return Model(toxic, ordinary, (0.0,) * 4, (1.0,) * 4, (1.0, 0.0, 0.0, 0.0), -5.0)
-    windows = Windows(toxic, ordinary)
-    x = np.array([windows.features(t) for t, _, _ in check])
+    tried = []
+    for k, factor in enumerate(FACTORS):
+        pair = train_dictionaries(*sides, factor=factor)
+        windows = Windows(*pair)
+        x = np.array([windows.features(t) for t, _, _ in check])
+        tried.append((_crossed_loss(x, y), k, pair, x))
+    _, _, (toxic, ordinary), x = min(tried, key=lambda v: v[:2])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w, b = _logistic((x - mean) / scale, y)
     logit = (x - mean) / scale @ w + b
