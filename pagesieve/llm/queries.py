@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, gif, linededup, mixing, neardup, packing, quality, secretscan, tokencount, toxicity
+from . import cws, gif, linededup, mixing, neardup, packing, passages, quality, secretscan, tokencount, toxicity
 from .common import documents
 
 TOKENIZERS = os.environ.get("PAGESIEVE_TOKENIZERS", "/opt/tokenizers")
@@ -55,6 +55,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_units(documents(spark, sf_dir), unit="line", min_words=REPEAT_WORDS)
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.compared_with_edits(documents(spark, sf_dir))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_near_duplicates, op2_toxicity, op3_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_quality, op8_gif_media, op9_line_dedup, op10_weighted_sampling)
+    ops = (op1_minhash_near_duplicates, op2_toxicity, op3_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_quality, op8_gif_media, op9_line_dedup, op9_passage_dedup, op10_weighted_sampling)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagesieve.llm import cws, gif, linededup, mixing, neardup, packing, quality, secretscan, tokencount, toxicity
+from pagesieve.llm import cws, gif, linededup, mixing, neardup, packing, passages, quality, secretscan, tokencount, toxicity
 
 TOK = "/opt/tokenizers"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id string, score double"
@@ -152,6 +153,39 @@ def test_line_dedup(spark):
     assert clean == {0: texts[0], 1: "new line of four", 2: None, 3: ""}
 
 
+def passages_brute(rows, size):
+    """Words to remove by (row, word): all runs of size words that stand earlier by (doc_id, start), not overlapping the place that stays."""
+    at, gone = {}, []
+    for i, text in rows:
+        words = list(re.finditer(r"\S+", text or ""))
+        for k in range(len(words) - size + 1):
+            run = tuple(m[0].lower() for m in words[k : k + size])
+            keep = at.setdefault(run, (i, k))
+            if keep != (i, k) and (keep[0] != i or k >= keep[1] + size):
+                gone += [(i, x) for x in range(words[k].start(), words[k + size - 1].end())]
+    return set(gone)
+
+
+def test_passages_inside_lines_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: f"W{rng.randrange(10**6)}"
+    passage = [word() for _ in range(30)]
+    texts = [*ODD, "a b " * 40, " ".join(word() for _ in range(40))]
+    for _ in range(25):
+        s = rng.randrange(0, 12)
+        part = passage[s : s + rng.randrange(8, 19)]
+        texts.append(" ".join(word() for _ in range(rng.randrange(20))) + " é " + rng.choice([" ", "\n", "  "]).join(part).lower() + " " + " ".join(word() for _ in range(rng.randrange(20))))
+    texts += [texts[-1], texts[-2] + " more", "İ x " + texts[-3] + "\n\n" + texts[-3]]
+    want = passages_brute([(i, t) for i, t in enumerate(texts) if i not in (6, 7)], 10)
+    got = passages.repeated_passages(frame(spark, [t if i not in (6, 7) else "" for i, t in enumerate(texts)]), words=10).collect()
+    spans = sorted((r.doc_id, r.start, r.end) for r in got)
+    assert {(i, x) for i, s, e in spans for x in range(s, e)} == want and want
+    assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    again = passages.repeated_passages(frame(spark, ["q " + " ".join(passage), " ".join(passage) + " r"], [None, 4]), words=10).collect()
+    assert [(r.doc_id, r.start, r.keep_doc_id, r.keep_start) for r in again] == [(None, 2, 4, 0)]
+    assert passages.repeated_passages(frame(spark, ["x"]).limit(0)).count() == 0
+
+
 def test_fingerprints_follow_generalised_jaccard():
     s, rng = cws.Sampler(2048), random.Random(1)
     for _ in range(5):
