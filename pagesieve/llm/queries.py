@@ -11,7 +11,7 @@ from . import cws, gif, linededup, mixing, neardup, packing, passages, quality,
 from .common import documents
 
 TOKENIZERS = os.environ.get("PAGESIEVE_TOKENIZERS", "/opt/tokenizers")
-REPEAT_WORDS = 16
+REPEAT_WORDS = 1
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
