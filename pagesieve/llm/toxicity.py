@@ -140,8 +140,6 @@ class Windows:
         self.known: dict[bytes, int] = {}
 
     def _measure(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > _REMEMBERED:
-            self.known.clear()
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             framed = [_FRAME[0] + b" " + w + b" " + _FRAME[1] for w in part]
@@ -151,14 +149,23 @@ class Windows:
             plain, toxic = (c.multi_compress_to_buffer(data, threads=1) for c in self.pair)
             self.known.update((w, len(a) - len(b)) for w, a, b in zip(part, plain, toxic, strict=True))
 
+    def _advantages(self, words: list[bytes]) -> list[int]:
+        """Of every word, in blocks of as many as are remembered."""
+        out: list[int] = []
+        for at in range(0, len(words), _REMEMBERED):
+            block = words[at : at + _REMEMBERED]
+            new = [w for w in block if w not in self.known]
+            if new and len(self.known) + len(new) > _REMEMBERED:
+                self.known.clear()
+                new = block
+            self._measure(new)
+            out += map(self.known.__getitem__, block)
+        return out
+
     def features(self, text: str) -> tuple[float, float, float, float]:
         """Largest and second largest advantage, log of the sum of those of 3 bytes and more, log of the word count."""
-        words = set(normalised(text).split())
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._measure(new)
-            words = words if len(new) < _REMEMBERED else words & self.known.keys()
-        got = [a for a in (self.known.get(w, 0) for w in words) if a > 0]
+        words = list(set(normalised(text).split()))
+        got = [a for a in self._advantages(words) if a > 0]
         top = sorted(got, reverse=True)[:2] + [0, 0]
         return float(top[0]), float(top[1]), math.log1p(sum(a for a in got if a >= 3)), math.log1p(len(words))
 

@@ -81,6 +81,17 @@ def test_toxicity_finds_planted_words(spark):
     assert sum(scored[i].predicted == y for i, y in held) / len(held) > 0.95
 
 
+def test_toxicity_forgets_no_word_of_a_text(monkeypatch):
+    rng = random.Random(3)
+    words = ["moronic", "scumbag", *(f"{rng.choice(['stone', 'river'])}{''.join(rng.choices('abcdef', k=3))}" for _ in range(60))]
+    texts = [" ".join(rng.sample(words, 12)) for _ in range(40)] + [" ".join(words)]
+    pair = b"moronic scumbag".rjust(64, b"\x03"), b"stone river".rjust(64, b"\x03")
+    want = [toxicity.Windows(*pair).features(t) for t in texts]
+    monkeypatch.setattr(toxicity, "_REMEMBERED", 16)
+    small = toxicity.Windows(*pair)
+    assert [small.features(t) for t in texts] == want and max(w[0] for w in want) > 0 and len(small.known) <= 16
+
+
 @pytest.mark.parametrize("fallback", [False, True])
 def test_token_counts_equal_the_library(fallback):
     from tokenizers import models
