@@ -5,9 +5,10 @@ source, length). A logistic classifier per view is fitted on labelled documents;
 scores all documents and hands its most confident ones to the other as pseudo-labels. At the end both views
 are calibrated together on labelled documents kept out of training, and that score decides.
 
-Training takes the labelled documents of smallest hash, at most ``max_labelled`` per class, and per round and
-view at most ``confident`` pseudo-labels per class, the most confident of the whole table: bounds of the method
-itself. Candidates and scores cover every document.
+Training takes the labelled documents of smallest hash, at most ``max_labelled`` per class. Candidates for
+pseudo-labels are all documents without a label, equal feature vectors once. Per round, view and class the share
+``confident`` of those the view has not handed over yet goes to the other, the most confident first, if ``sure``.
+They stay where they are: each Newton step of a fit sums over them in one pass. Scores cover every document.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text, stored, union_all
+from .common import stored
 from .toxicity import _logistic, fold, labelled_sample
 
 N_TEXT, N_META = 13, 27
@@ -116,16 +117,101 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return stored(_columns(docs).mapInArrow(run, "doc_id long, x array<float>"), "quality-features")
 
 
-def _linear(x, weights: np.ndarray, bias: float, first: int):
-    """bias + weights . x[first:] as a column of built-in functions."""
-    total = F.lit(float(bias))
-    for i, w in enumerate(weights):
-        total = total + x[first + i] * F.lit(float(w))
-    return total
+_CUT = {"t": slice(0, N_TEXT), "m": slice(N_TEXT, N_TEXT + N_META)}
+_OTHER = {"t": "m", "m": "t"}
 
 
-def train(docs: DataFrame, labels: DataFrame, table: DataFrame, *, rounds: int = 3, max_labelled: int = 3000, confident: int = 300, sure: float = 0.95, lost: float = 0.002) -> Model:
-    """lost: the share of good calibration documents that may score too low to be kept."""
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(0).flatten(), np.float64).reshape(-1, N_TEXT + N_META)
+
+
+def _given(z: np.ndarray, view: str, rounds: list[tuple[np.ndarray, float, float, float]]) -> np.ndarray:
+    """Labels that a view has handed over in the rounds so far (weights, bias, highest bad and least good logit); nan for rows not yet."""
+    out = np.full(len(z), np.nan)
+    for w, b, low, high in rounds:
+        logit = z[:, _CUT[view]] @ w + b
+        free = np.isnan(out)
+        out[free & (logit >= high)] = 1.0
+        out[free & (logit <= low)] = 0.0
+    return out
+
+
+def candidates(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """x of the documents without a label, equal ones once, in the shared folder."""
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").select("doc_id")
+    return stored(table.join(labelled, "doc_id", "left_anti").select("x").distinct(), "quality-candidates")
+
+
+def _cuts(free: DataFrame, mean: np.ndarray, scale: np.ndarray, fitted: dict, handed: dict, confident: float, sure: float) -> dict[str, tuple[float, float]]:
+    """For each view the highest bad and the least good logit that it hands over in this round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = (_rows(batch) - mean) / scale
+            logits = []
+            for v in "tm":
+                logit = z[:, _CUT[v]] @ fitted[v][0] + fitted[v][1]
+                logits.append(pa.array(logit, mask=~np.isnan(_given(z, v, handed[v]))))
+            yield pa.RecordBatch.from_arrays(logits, ["t", "m"])
+
+    least = math.log(sure / (1 - sure))
+    found = free.mapInArrow(run, "t double, m double").agg(*(F.percentile_approx(v, [confident, 1 - confident], 100_000).alias(v) for v in "tm")).first()
+    return {v: (min(found[v][0], -least), max(found[v][1], least)) if found[v] else (-math.inf, math.inf) for v in "tm"}
+
+
+def _refitted(free: DataFrame, mean: np.ndarray, scale: np.ndarray, z: np.ndarray, y: np.ndarray, fitted: dict, handed: dict, ridge: float) -> dict:
+    """Both views fitted on the labelled rows z, y and on what the other view has handed over."""
+    start = {v: np.r_[fitted[v][0], fitted[v][1]] for v in "tm"}
+    sizes = {v: len(start[v]) for v in "tm"}
+
+    def sums(z: np.ndarray, y: np.ndarray, v: str, w: np.ndarray) -> np.ndarray:
+        a = np.c_[z[:, _CUT[v]], np.ones(len(z))]
+        logit = a @ w
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        return np.r_[(a.T @ (a * (p * (1 - p))[:, None])).ravel(), a.T @ (y - p), float(np.sum(np.logaddexp(0, logit) - y * logit))]
+
+    length = sum(n * n + n + 1 for n in sizes.values())
+    done = {v: (math.inf, start[v], np.zeros(sizes[v])) for v in "tm"}
+    for _ in range(60):
+
+        def run(batches: Iterator[pa.RecordBatch], at=dict(start)) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(length)
+            for batch in batches:
+                q = (_rows(batch) - mean) / scale
+                parts = []
+                for v in "tm":
+                    label = _given(q, _OTHER[v], handed[_OTHER[v]])
+                    has = ~np.isnan(label)
+                    parts.append(sums(q[has], label[has], v, at[v]))
+                total += np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        # one row of some thousand sums per partition
+        total = np.zeros(length)
+        for r in free.mapInArrow(run, "s array<double>").collect():
+            total += np.array(r.s)
+        largest, first = 0.0, 0
+        for v in "tm":
+            n = sizes[v]
+            s = total[first : first + n * n + n + 1] + sums(z, y, v, start[v])
+            first += n * n + n + 1
+            penalty = np.diag([ridge] * (n - 1) + [1e-6])
+            loss, (least, good, step) = s[-1] + start[v] @ penalty @ start[v] / 2, done[v]
+            if loss > least + 1e-9 * abs(least):
+                # too far: back to the last good weights, half the step
+                step = step / 2
+            else:
+                least, good = loss, start[v]
+                step = np.linalg.solve(s[: n * n].reshape(n, n) + penalty, s[n * n : -1] - penalty @ start[v])
+            done[v], start[v] = (least, good, step), good + step
+            largest = max(largest, float(np.abs(step).max()))
+        if largest < 1e-5:
+            break
+    return {v: (start[v][:-1], float(start[v][-1])) for v in "tm"}
+
+
+def train(docs: DataFrame, labels: DataFrame, table: DataFrame, *, rounds: int = 3, max_labelled: int = 3000, confident: float = 0.05, sure: float = 0.95, lost: float = 0.002) -> Model:
+    """confident: the share of the candidates that a view hands over per round and class. lost: the share of good calibration documents that may score too low to be kept."""
     sample = labelled_sample(docs, labels, "quality", max_labelled, max_labelled)
     known = sorted({i: (t, y) for i, t, y in sample}.items())
     spark = docs.sparkSession
@@ -140,25 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, table: DataFrame, *, rounds: int =
     mean, scale = x.mean(0), x.std(0) + 1e-6
     # a feature outside what labelled documents show says no more than their extremes do
     z = (x - mean) / scale
-    cut = {"t": slice(0, N_TEXT), "m": slice(N_TEXT, None)}
-    pool = {v: (z[~held], y[~held]) for v in "tm"}
-    for k in range(rounds + 1):
-        fitted = {v: _logistic(pool[v][0][:, cut[v]], pool[v][1], ridge=2.0) for v in "tm"}
-        if k == rounds:
-            break
-        asked = []
+    fitted = {v: _logistic(z[~held][:, _CUT[v]], y[~held], ridge=2.0) for v in "tm"}
+    free = candidates(table, labels)
+    handed: dict[str, list] = {"t": [], "m": []}
+    for _ in range(rounds):
+        cuts = _cuts(free, mean, scale, fitted, handed, confident, sure)
         for v in "tm":
-            w, b = fitted[v]
-            scaled = w / scale[cut[v]]
-            s = 1 / (1 + F.exp(-_linear(F.col("x"), scaled, b - float(scaled @ mean[cut[v]]), cut[v].start)))
-            scored = table.where("doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 < 2).select("doc_id", "x", s.alias("s"), F.lit(v).alias("v"))
-            asked += [scored.where(F.col("s") >= sure).orderBy(F.desc("s"), "doc_id").limit(confident), scored.where(F.col("s") <= 1 - sure).orderBy("s", "doc_id").limit(confident)]
-        got = union_all(asked).collect()
-        for v, other in (("t", "m"), ("m", "t")):
-            new = [r for r in got if r.v == v and r.doc_id not in vectors]
-            if new:
-                more = (np.array([r.x for r in new], np.float64) - mean) / scale
-                pool[other] = np.r_[pool[other][0], more], np.r_[pool[other][1], [float(r.s >= 0.5) for r in new]]
+            handed[v].append((*fitted[v], *cuts[v]))
+        fitted = _refitted(free, mean, scale, z[~held], y[~held], fitted, handed, 2.0)
     model = Model(mean, scale, (fitted["t"], fitted["m"]), (1.0, 1.0, 0.0), 0.0)
     t, m = model.logits(x[held])
     w, b = _logistic(np.c_[t, m], y[held], ridge=0.1)

@@ -261,3 +261,37 @@ def test_quality_on_junk(spark):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum(got[i].kept == bool(i % 3) for i in held) / len(held) > 0.97
     assert len(got) == len(rows) + len(ODD)
+
+
+def test_quality_candidates_and_handing_over(spark):
+    vectors = [[float(i % 7)] * (quality.N_TEXT + quality.N_META) for i in range(40)]
+    rows = [(i if i < 38 else None, x) for i, x in enumerate(vectors)] + [(100, [50.0] * 40), (101, [60.0] * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(100, 1), (101, None), *((i, i % 2) for i in range(0, 40, 7))], "doc_id long, quality int")
+    free = quality.candidates(table, labels)
+    # only labelled documents are left out, in all four parts by hash, and equal vectors count once
+    assert sorted(r.x[0] for r in free.collect()) == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 60.0]
+    many = spark.createDataFrame([([float(i)] * 40,) for i in range(-5000, 5000)], "x array<float>")
+    mean, scale = np.zeros(40), np.full(40, 100.0)
+    fitted = {"t": (np.ones(13), 0.0), "m": (np.zeros(27), 0.0)}
+    handed = {"t": [], "m": []}
+    z = np.arange(-5000, 5000)[:, None] * np.ones(40) / 100
+    for part in (500, 450):
+        before = quality._given(z, "t", handed["t"])
+        cuts = quality._cuts(many, mean, scale, fitted, handed, 0.05, 0.95)
+        for v in "tm":
+            handed[v].append((*fitted[v], *cuts[v]))
+        new = quality._given(z, "t", handed["t"])[np.isnan(before)]
+        assert abs((new == 1).sum() - part) < 5 and abs((new == 0).sum() - part) < 5
+        assert np.isnan(quality._given(z, "m", handed["m"])).all()
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    seed = np.vstack([z[[10, 9990]], z[[6000, 4000]]])
+    got = quality._refitted(many, mean, scale, seed, y, fitted, handed, 2.0)
+    label = quality._given(z, "t", handed["t"])
+    has = ~np.isnan(label)
+    w, b = quality._logistic(np.r_[seed, z[has]][:, 13:], np.r_[y, label[has]], ridge=2.0)
+    assert np.allclose(got["m"][0], w, atol=1e-4) and abs(got["m"][1] - b) < 1e-4
+    # a start far from the optimum must not run away
+    far = {"t": (np.full(13, 4.0), 0.0), "m": (np.full(27, -3.0), 5.0)}
+    again = quality._refitted(many, mean, scale, seed, y, far, handed, 2.0)
+    assert np.allclose(again["m"][0], got["m"][0], atol=1e-3)
