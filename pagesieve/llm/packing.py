@@ -4,14 +4,16 @@ A global histogram of document lengths goes through dynamic programming, which c
 minimise padding when each document is padded to its bucket's bound. Inside each bucket documents form batches
 of as many as fit the token budget, all full but the last.
 
-The histogram holds at most ``bins`` lengths on the driver: exact if there are no more distinct lengths, else
-lengths are rounded up to 3 significant digits first (bounds are then optimal among those). Places in a bucket are
+The histogram holds every distinct length exactly, at any size of the table: tens of thousands of numbers on the
+driver. Each bucket is one pass over it, along the lower hull of lines. Places in a bucket are
 found without gathering it: documents are dealt into slices by hash, sums over slices give each slice its first
 place, and only the few thousand rows of a slice are ordered together.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -26,22 +28,32 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     m = len(lengths)
     if not m:
         return []
-    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    cost = total[1:] * lengths
+    # whole numbers of any size: products of sums pass 2^53
+    xs = [int(x) for x in lengths]
+    total = [0, *accumulate(int(n) for n in counts)]
+    cost = [t * x for t, x in zip(total[1:], xs, strict=True)]
     choices = []
     for _ in range(min(buckets, m) - 1):
-        new, chosen = np.empty(m), np.empty(m, np.int64)
+        new, chosen = [], []
+        # bucket (i, j]: lengths i+1..j padded to xs[j], cost[i] + (total[j+1] - total[i+1]) * xs[j]; i = -1 is no earlier bucket.
+        # As lines in xs[j] slopes fall with i and xs rises with j: the least line only moves on.
+        hull, at = [(0, 0, -1)], 0
         for j in range(m):
-            # bucket (i, j]: lengths i+1..j padded to lengths[j]; i = -1 is no earlier bucket
-            options = np.concatenate([[total[j + 1] * lengths[j]], cost[:j] + (total[j + 1] - total[1 : j + 1]) * lengths[j]])
-            chosen[j] = int(options.argmin()) - 1
-            new[j] = options[chosen[j] + 1]
+            while at + 1 < len(hull) and hull[at + 1][0] - hull[at + 1][1] * xs[j] < hull[at][0] - hull[at][1] * xs[j]:
+                at += 1
+            base, slope, i = hull[at]
+            new.append(base + (total[j + 1] - slope) * xs[j])
+            chosen.append(i)
+            line = (cost[j], total[j + 1], j)
+            while len(hull) - at >= 2 and (line[0] - hull[-2][0]) * (hull[-1][1] - hull[-2][1]) <= (hull[-1][0] - hull[-2][0]) * (line[1] - hull[-2][1]):
+                hull.pop()
+            hull.append(line)
         cost = new
         choices.append(chosen)
     bounds, j = [], m - 1
     for chosen in reversed(choices):
         bounds.append(int(lengths[j]))
-        j = int(chosen[j])
+        j = chosen[j]
         if j < 0:
             break
     else:
@@ -49,13 +61,7 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return sorted(bounds)
 
 
-def _rounded(length: Column) -> Column:
-    """Up to 3 significant digits; small lengths as they are."""
-    unit = F.greatest(F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(length, F.lit(1)).cast("double"))) - 2), F.lit(1.0)).cast("long")
-    return (F.ceil(length / unit) * unit).cast("long")
-
-
-def packed(docs: DataFrame, *, buckets: int = 16, budget: int = 16384, bins: int = 2048, length: Column | None = None) -> DataFrame:
+def packed(docs: DataFrame, *, buckets: int = 16, budget: int = 16384, length: Column | None = None) -> DataFrame:
     """doc_id, length, bucket (from 0), bound, batch (from 0 in its bucket), place (in its batch), padding for every row.
 
     length: tokens of a row, by default its words. A batch holds max(1, budget // bound) documents, so a longer
@@ -64,11 +70,7 @@ def packed(docs: DataFrame, *, buckets: int = 16, budget: int = 16384, bins: int
     """
     tokens = length if length is not None else token_count(F.coalesce(docs["text"].cast("string"), F.lit("")))
     rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("length")), "pack-lengths")
-    distinct = rows.groupBy("length").agg(F.count("*").alias("n"))
-    seen = distinct.limit(bins + 1).count()
-    by = F.col("length") if seen <= bins else _rounded(F.col("length"))
-    # 3 digits: at most 900 values per power of ten
-    histogram = sorted((r.length, r.n) for r in rows.groupBy(by.alias("length")).agg(F.count("*").alias("n")).collect())
+    histogram = sorted((r.length, r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())
     bounds = optimal_bounds(np.array([x for x, _ in histogram]), np.array([n for _, n in histogram]), buckets)
     whole = sum(n for _, n in histogram)
     slices = max(1, -(-whole // _SLICE))

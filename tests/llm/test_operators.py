@@ -295,3 +295,21 @@ def test_quality_candidates_and_handing_over(spark):
     far = {"t": (np.full(13, 4.0), 0.0), "m": (np.full(27, -3.0), 5.0)}
     again = quality._refitted(many, mean, scale, seed, y, far, handed, 2.0)
     assert np.allclose(again["m"][0], got["m"][0], atol=1e-3)
+
+
+def test_packing_is_optimal_for_many_lengths(spark):
+    rng = np.random.default_rng(6)
+    lengths = np.cumsum(rng.integers(1, 9, 3000)) + 1000
+    counts = rng.integers(1, 50, 3000)
+    bounds = packing.optimal_bounds(lengths, counts, 4)
+    # brute force, row by row
+    total = np.concatenate([[0], np.cumsum(counts)])
+    cost = total[1:] * lengths
+    for _ in range(3):
+        cost = np.array([min(total[j + 1] * lengths[j], (cost[:j] + (total[j + 1] - total[1 : j + 1]) * lengths[j]).min(initial=1 << 62)) for j in range(3000)])
+    at = np.searchsorted(bounds, lengths)
+    assert int((counts * np.array(bounds)[at]).sum()) == cost[-1]
+    docs = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, text long")
+    rows = packing.packed(docs, buckets=4, length=F.col("text")).collect()
+    assert max(r.bound for r in rows) == lengths[-1]
+    assert sorted({r.bound for r in rows}) == packing.optimal_bounds(lengths, np.ones(3000, int), 4)
