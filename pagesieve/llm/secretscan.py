@@ -1,10 +1,12 @@
 """Secret scan by token efficiency.
 
 Three pattern kinds (assigned values, access keys, hexadecimal strings) are found first. The method adds a
-fourth: maximal runs of key characters whose text needs many tokens under a byte-pair vocabulary, that is,
-whose characters per token are low, as for random strings; prose and code words need few. Known digests
+fourth: runs of key characters whose text needs many tokens under a byte-pair vocabulary, that is,
+whose characters per token are low, as for random strings; prose and code words need few. Judged are maximal runs
+and, inside them, the shortest sequences of separated parts of 16 characters and more that begin or end with each
+part; what is found is joined, so that a path or name in front hides no key. Known digests
 (32, 40, 56, 64, 96 or 128 hexadecimal digits) and identifiers (UUIDs, dates, numbers, words joined by
-separators or case) are excluded, as is what a base span covers already.
+separators or case) are excluded, and runs are cut where a base span covers them already.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*\Z")
 _CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}\Z")
 
@@ -69,11 +73,39 @@ def excluded(run: str) -> bool:
     return bool(_UUID.match(run) or _IDENTIFIER.match(run) or _CAMEL.match(run))
 
 
+def _windows(run: str) -> set[tuple[int, int]]:
+    """The run, and for each of its parts between separators the shortest sequences of parts of 16+ characters from it and up to it."""
+    parts = [m.span() for m in _PART.finditer(run)]
+    out = {(0, len(run))}
+    to = back = 0
+    for k, (start, end) in enumerate(parts):
+        to = max(to, k)
+        while to < len(parts) and parts[to][1] - start < 16:
+            to += 1
+        if to < len(parts):
+            out.add((start, parts[to][1]))
+        while back < k and end - parts[back + 1][0] >= 16:
+            back += 1
+        if end - parts[back][0] >= 16:
+            out.add((parts[back][0], end))
+    return out
+
+
+def _free(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What taken leaves of start to end."""
+    for s, e in sorted(taken):
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def random_spans(text: str, base: list[Span], enc: tiktoken.Encoding, ratio: float, seen: dict[str, bool]) -> list[Span]:
-    """Runs of 16+ key characters with letters and digits, or both cases, at most ratio characters per token, outside base spans."""
-    out = []
-    for m in _RUN.finditer(text):
-        run = m[0]
+    """Joined windows of 16+ key characters with letters and digits, or both cases, at most ratio characters per token, outside base spans."""
+
+    def judged(run: str) -> bool:
         verdict = seen.get(run)
         if verdict is None:
             mixed = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run) >= 2
@@ -82,8 +114,25 @@ def random_spans(text: str, base: list[Span], enc: tiktoken.Encoding, ratio: flo
                 seen.clear()
             if len(run) <= 256:
                 seen[run] = verdict
-        if verdict and not any(s.start < m.end() and m.start() < s.end for s in base):
-            out.append(Span(m.start(), 3, m.end()))
+        return verdict
+
+    out: list[Span] = []
+    for m in _RUN.finditer(text):
+        taken = [(s.start, s.end) for s in base if s.start < m.end() and m.start() < s.end]
+        taken += [(m.start() + k.start(), m.start() + k.end()) for k in _KNOWN.finditer(m[0]) if excluded(k[0])]
+        for start, end in _free(m.start(), m.end(), taken):
+            run = text[start:end]
+            if end - start < 16 or excluded(run):
+                continue
+            last = -1
+            for s, e in sorted(_windows(run)):
+                if judged(run[s:e]):
+                    if s < last:
+                        last = max(last, e)
+                        out[-1] = Span(out[-1].start, 3, start + last)
+                    else:
+                        out.append(Span(start + s, 3, start + e))
+                        last = e
     return out
 
 

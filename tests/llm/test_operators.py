@@ -313,3 +313,16 @@ def test_packing_is_optimal_for_many_lengths(spark):
     rows = packing.packed(docs, buckets=4, length=F.col("text")).collect()
     assert max(r.bound for r in rows) == lengths[-1]
     assert sorted({r.bound for r in rows}) == packing.optimal_bounds(lengths, np.ones(3000, int), 4)
+
+
+def test_keys_behind_paths_and_around_base_spans(spark):
+    rng = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = "/production/database/connection/credentials/"
+    keys = ["".join(rng.choices(chars, k=n)) for n in (20, 24, 32) for _ in range(50)]
+    part = "u8Kq2ZpX0vLm9TnR4wYs7B"
+    plain = ["/usr/share/doc/packages/readme/index", "id/3F2504E0-4F89-41D3-9A0C-0305E82C3301", "objects/" + "0123456789ABCDEF" * 2]
+    texts = [path + k for k in keys] + [part + "/" + "0123456789abcdef" * 2] + plain
+    clean = [r.text for r in secretscan.redacted(frame(spark, texts), f"{TOK}/byte_bpe_50k.tiktoken").orderBy("doc_id").collect()]
+    assert not any(k in t for k, t in zip(keys, clean, strict=False))
+    assert part not in clean[len(keys)] and clean[-3:] == plain
