@@ -47,7 +47,8 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES) -> None:
         self.samples = samples
         self.slots: dict[bytes | tuple[bytes, int], int] = {}
-        self.keys = np.empty((1024, samples), np.int64)
+        # pages that are never written take no memory
+        self.keys = np.empty((_SLOTS, samples), np.int64)
         self.streams = np.arange(1, 3 * samples + 1, dtype=np.uint64).reshape(3, samples) * np.uint64(0xD1342543DE82EF95)
 
     def _draw(self, pairs: list[bytes | tuple[bytes, int]]) -> None:
@@ -64,8 +65,6 @@ class Sampler:
             order = order ^ ((order >> 31) & np.int32(0x7FFFFFFF))
             tag = (term + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)
             n = len(self.slots)
-            while n + len(part) > len(self.keys):
-                self.keys = np.concatenate([self.keys, np.empty_like(self.keys)])
             self.keys[n : n + len(part)] = (order.astype(np.int64) << 16) | tag.astype(np.int64)
             self.slots.update((p, n + i) for i, p in enumerate(part))
 
@@ -147,53 +146,71 @@ def edited(text: str, following: str) -> str:
 def compared_with_edits(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    The next document is the next row by doc_id, equal ids by text, null ids first; after the last comes the
-    first. A table of one row is followed by itself. Null and empty texts have the empty fingerprint.
+    The next document is the next row by doc_id, null ids first, equal ids by a hash of their text, then by text; after
+    the last comes the first. A table of one row is followed by itself. Null and empty texts have the empty
+    fingerprint; an empty table gives an empty result; other columns are ignored.
 
     Rows move once, compressed, into consecutive blocks of doc_id (bounds are approximate quantiles, two numbers per
     block on the driver; copies of the first row of a block also go to the end of the one before), where a
-    task streams through them in order.
+    task streams through them in order. An id that fills several blocks is shared out over them by hash.
     """
     spark = docs.sparkSession
     base = id_text(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = 8 * max(partitions, spark.sparkContext.defaultParallelism)
-    ids = base.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], max(1000, 20 * blocks))).first()[0] or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
-    firsts = ids.mapInArrow(_blocked(cuts), "block int, doc_id long").groupBy("block").agg(F.min("doc_id").alias("first")).orderBy("block").collect()
-    ahead = {r.first: (r.block, firsts[i - 1].block) for i, r in enumerate(firsts)}
-    dealt = base.mapInArrow(_zipped(cuts, ahead), "doc_id long, packed binary, block int, extra boolean")
-    dealt = dealt.repartition(partitions, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), "packed")
+    ids = base.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"))
+    found = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], max(1000, 20 * blocks))).first()[0] or []
+    cuts = np.array(sorted(found), np.int64)
+    kept, times = np.unique(cuts, return_counts=True)
+    # a quantile that occurs twice may be chance: the id is few rows; three times it fills a block
+    cuts = np.repeat(kept, np.where(times > 2, times, 1))
+    shared = bool((times > 2).any())
+    rows = base if shared else base.select("doc_id", F.lit("").alias("text"))
+    firsts = rows.mapInArrow(_blocked(cuts), "block int, doc_id long, hash long").groupBy("block").agg(F.min(F.struct("doc_id", "hash")).alias("first")).orderBy("block").collect()
+    ahead = {(r.first.doc_id, r.first.hash if shared else None): (r.block, firsts[i - 1].block) for i, r in enumerate(firsts)}
+    dealt = base.mapInArrow(_zipped(cuts, ahead, shared), "doc_id long, packed binary, block int, extra boolean, hash long")
+    dealt = dealt.repartition(partitions, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), "hash", "packed").select("doc_id", "packed", "block", "extra")
     return dealt.mapInArrow(_walk(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _block_of(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
-    """Number of cuts below an id; null ids are in block -1."""
-    at = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
-    at[ids.is_null().to_numpy(zero_copy_only=False)] = -1
-    return at
+_NULL = -(1 << 63)
+
+
+def _placed(batch: pa.RecordBatch, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (null as the least), hashes of the texts, and blocks: the number of cuts below an id, and for an id that is a cut m times one of m blocks by hash."""
+    ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()), np.uint64, len(ids))
+    low, high = np.searchsorted(cuts, ids), np.searchsorted(cuts, ids, side="right")
+    share = ((hashes >> np.uint64(32)) * np.maximum(high - low, 1).astype(np.uint64)) >> np.uint64(32)
+    return ids, (hashes >> np.uint64(1)).astype(np.int64), (low + share.astype(np.int64)).astype(np.int32)
 
 
 def _blocked(cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_block_of(batch.column(0), cuts)), batch.column(0)], ["block", "doc_id"])
+            ids, hashes, block = _placed(batch, cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids), pa.array(hashes)], ["block", "doc_id", "hash"])
 
     return run
 
 
-def _zipped(cuts: np.ndarray, ahead: dict):
-    """Rows with their block; those with the first id of a block a second time, as extra rows of the block before."""
+def _zipped(cuts: np.ndarray, ahead: dict, shared: bool):
+    """Rows with their block; those that are first in a block a second time, as extra rows of the block before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, block = batch.column(0).to_pylist(), _block_of(batch.column(0), cuts).tolist()
+            ids, hashes, block = (x.tolist() for x in _placed(batch, cuts))
             packed = [z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            more = [(i, p, ahead[i][1]) for i, p, b in zip(ids, packed, block, strict=True) if i in ahead and ahead[i][0] == b]
-            extra = [False] * len(ids) + [True] * len(more)
-            yield pa.RecordBatch.from_arrays([pa.array(ids + [m[0] for m in more], pa.int64()), pa.array(packed + [m[1] for m in more], pa.binary()), pa.array(block + [m[2] for m in more], pa.int32()), pa.array(extra)], ["doc_id", "packed", "block", "extra"])
+            more = []
+            for k, (i, h, b) in enumerate(zip(ids, hashes, block, strict=True)):
+                at = ahead.get((i, h if shared else None))
+                if at is not None and at[0] == b:
+                    more.append((k, at[1]))
+            rows = [*range(len(ids)), *(k for k, _ in more)]
+            take = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(take), pa.array([packed[k] for k in rows], pa.binary()), pa.array([*block, *(b for _, b in more)], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([False] * len(ids) + [True] * len(more)), pa.array([hashes[k] for k in rows], pa.int64())], ["doc_id", "packed", "block", "extra", "hash"])
 
     return run
 
