@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import lexicons as lx
 
@@ -15,11 +15,35 @@ def _java_quote(term: str) -> str:
     return re.sub(r"([\\.*+?()\[\]{}^$|])", r"\\\1", term)
 
 
+def either(words: list[str]) -> str:
+    """A group of alternatives, each word as it stands."""
+    return "(?:" + "|".join(map(_java_quote, words)) + ")"
+
+
+_LOCAL = "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}"
+_LABEL = "(?!-)[A-Za-z0-9-]{1,64}(?<!-)"
+#: One address; what stands around it must not continue it.
+EMAIL = rf"(?U)(?<![\w.+-])({_LOCAL}@(?:{_LABEL}\.)+[A-Za-z]{{2,24}})(?![\w-])"
+_OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
+_AT = rf"(?:{_OPEN}{either(lx.AT_WORDS)}{_CLOSE}|\s{either(lx.AT_BETWEEN_BLANKS)}\s)"
+_DOT = rf"(?:\s*{_OPEN}{either(lx.DOT_WORDS)}{_CLOSE}\s*|\.)"
+#: An address with its signs written out: the local part and the domain.
+OBFUSCATED = rf"({_LOCAL})\s*{_AT}\s*([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)"
+_NAME_TITLES = rf"(?iU)\b{either(lx.NAME_TITLES)}\b\.?-?"
+_KEY_TITLES = rf"(?U)\b{either(lx.KEY_TITLES)}\b\.?"
+ACADEMIC_TITLE = rf"(?U)\b{either(lx.ACADEMIC_TITLES)}(?!\w)"
+
+
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with value evaluated once, also inside lambdas, where Spark does not share subexpressions."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def named(**fields: Column) -> Column:
+    """A struct whose names do not hang on aliases, which Spark drops next to a generator."""
+    return F.named_struct(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+
+
 def _branches(terms: list[str]) -> str:
     """Alternation by first character, so that a position looks at few terms; longer terms come first."""
     heads: dict[str, list[str]] = {}
@@ -85,8 +109,10 @@ ACCEPTED = ["prefilter_off", "position_or_funding_and_field_terms", "position_pa
 
 def clean_emails(found: Column) -> Column:
     """Lower-case addresses without image and code endings, in order, each once."""
-    low = F.transform(found, lambda e: F.lower(F.regexp_replace(e, r"^[.,;:<>()\[\]\s]+|[.,;:<>()\[\]\s]+$", "")))
-    return F.array_distinct(F.filter(low, lambda e: F.regexp_like(e, F.lit("^" + lx.EMAIL + "$")) & ~F.regexp_extract(e, r"\.([a-z]+)$", 1).isin(lx.NOT_MAIL_TLDS)))
+    around = r"""^[.,;:<>()\[\]"'\s]+|[.,;:<>()\[\]"'\s]+$"""
+    low = F.transform(found, lambda e: F.lower(F.regexp_replace(e, around, "")))
+    whole = F.lit(f"^{EMAIL}$")
+    return F.array_distinct(F.filter(low, lambda e: F.regexp_like(e, whole) & ~F.regexp_extract(e, r"\.([a-z]+)$", 1).isin(lx.NOT_MAIL_TLDS)))
 
 
 def plain_emails(text: Column) -> Column:
@@ -95,23 +121,23 @@ def plain_emails(text: Column) -> Column:
 
 def found_emails(text: Column) -> Column:
     """Plain addresses as they stand; texts without the sign skip the search."""
-    return F.when(~F.contains(text, F.lit("@")), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(lx.EMAIL), 1))
+    return F.when(~F.contains(text, F.lit("@")), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(EMAIL), 1))
 
 
 def obfuscated_emails(text: Column) -> Column:
-    rx = F.lit("(?iu)" + lx.OBFUSCATED)
+    rx = F.lit("(?iu)" + OBFUSCATED)
     pairs = F.arrays_zip(F.regexp_extract_all(text, rx, 1).alias("l"), F.regexp_extract_all(text, rx, 2).alias("d"))
-    found = F.transform(pairs, lambda p: F.concat(p["l"], F.lit("@"), F.regexp_replace(p["d"], "(?iu)" + lx.DOT, ".")))
+    found = F.transform(pairs, lambda p: F.concat(p["l"], F.lit("@"), F.regexp_replace(p["d"], "(?iu)" + _DOT, ".")))
     # every match holds the sign's stand-in, which is quick to rule out
-    return clean_emails(F.when(~text.rlike("(?iu)" + lx.OBFUSCATED_SIGN), F.array().cast("array<string>")).otherwise(found))
+    return clean_emails(F.when(~text.rlike("(?iu)" + _AT), F.array().cast("array<string>")).otherwise(found))
 
 
 def decode_protected(hexed: Column) -> Column:
-    """Address hidden as hexadecimal bytes, the first of them the XOR key; malformed input gives NULL."""
+    """Address hidden as hexadecimal bytes, the first of them the XOR key (a last single digit is a byte); other input gives NULL."""
     byte = lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int")
-    at = F.sequence(F.lit(3), F.length(hexed), F.lit(2))
+    at = F.when(F.length(hexed) > 2, F.sequence(F.lit(3), F.greatest(F.length(hexed), F.lit(3)), F.lit(2))).otherwise(F.array().cast("array<int>"))
     plain = F.array_join(F.transform(at, lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(1))))), "")
-    return F.when(hexed.rlike("^([0-9A-Fa-f]{2}){2,}$"), plain)
+    return F.when(hexed.rlike("^[0-9A-Fa-f]+$"), plain)
 
 
 @F.pandas_udf(T.StringType())
@@ -120,32 +146,50 @@ def nfkc(values: pd.Series) -> pd.Series:
 
 
 def match_form(text: Column, compose: bool = False) -> Column:
-    """Lower case, straight quotes, plain hyphens, single blanks; NFKC only where asked, since Spark has no such function."""
+    """Lower case, straight quotes, plain hyphens, single blanks. compose: NFKC first, which Spark lacks, in an Arrow batch."""
     base = nfkc(text) if compose else text
-    plain = F.translate(F.lower(base), "‘’‚‛“”„‟‐‑‒–—―", "''''\"\"\"\"------")
+    plain = F.translate(F.lower(base), "‘’“”‐‑‒–—―", "''\"\"------")
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
+def stripped_quote(quote: Column) -> Column:
+    """A quote in match form without the marks around it."""
+    return F.regexp_replace(quote, r"""^[ ."']+|[ ."']+$""", "")
+
+
+def quote_pieces(quote: Column) -> Column:
+    """What stands around the ellipses of a quote."""
+    return F.transform(F.split(quote, r"\.\.\.|…"), lambda p: F.trim(p))
+
+
 def quote_on_page(quote: Column, page: Column, threshold: float = 0.85) -> Column:
-    """Both in match form. True if the quote, a stretch of at least the threshold of it, or all its pieces around an ellipsis occur."""
-    q = F.regexp_replace(quote, r"""^[ ."']+|[ ."']+$""", "")
-    n = F.length(q)
-    least = F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    window = F.exists(F.sequence(F.lit(1), F.greatest(n - least + 1, F.lit(1))), lambda i: F.contains(page, F.substring(q, i, least)))
-    pieces = F.filter(F.transform(F.split(q, r"\[?(?:\.\.\.|…)\]?"), F.trim), lambda p: F.length(p) >= 20)
-    return F.coalesce((n >= 8) & (F.contains(page, q) | window | ((F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(page, p)))), F.lit(False))
+    """Both in match form. True if the quote, a stretch of at least the threshold of it, or all its pieces around an ellipsis occur.
+
+    Any such stretch holds the middle of the quote, so that a page without it needs no further look.
+    """
+
+    def test(q: Column) -> Column:
+        n = F.length(q)
+        least = F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
+        middle = F.contains(page, F.substring(q, n - least + 1, F.greatest(2 * least - n, F.lit(1))))
+        window = F.exists(F.sequence(F.lit(1), F.greatest(n - least + 1, F.lit(1))), lambda i: F.contains(page, F.substring(q, i, least)))
+        pieces = F.filter(quote_pieces(q), lambda p: F.length(p) >= 20)
+        all_pieces = (F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(page, p))
+        return F.coalesce((n >= 8) & ((middle & window) | all_pieces), F.lit(False))
+
+    return bound(stripped_quote(quote), test)
 
 
 def name_on_page(name: Column, page: Column) -> Column:
     """Page in match form. The name without titles occurs, or each of two or more parts does as a word."""
-    bare = F.regexp_replace(match_form(F.regexp_replace(name, lx.TITLE_WORDS, " ")), "^[ .,]+|[ .,]+$", "")
+    bare = F.regexp_replace(match_form(F.regexp_replace(name, _NAME_TITLES, " ")), "^[ .,]+|[ .,]+$", "")
     parts = F.filter(F.split(bare, r"[\s,.]+"), lambda p: F.length(p) >= 2)
     whole = lambda p: F.regexp_like(page, F.concat(F.lit(r"(?U)(?<!\w)\Q"), p, F.lit(r"\E(?!\w)")))
     return F.coalesce((F.length(bare) >= 3) & (F.contains(page, bare) | ((F.size(parts) >= 2) & F.forall(parts, whole))), F.lit(False))
 
 
 def name_key(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), lx.KEY_TITLE_WORDS, " "), "[^a-zäöüß]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), _KEY_TITLES, " "), "[^a-zäöüß]+", " "))
 
 
 def truncated(text: Column, limit: int) -> Column:
@@ -180,9 +224,35 @@ def redacted(text: Column, values: list[str] | None = None, patterns: list[str]
     return text
 
 
+def secret_values(environment: dict[str, str]) -> list[str]:
+    """Values of the variables that hold keys, for redacted()."""
+    return [environment[k] for k in lx.SECRET_VARIABLES if environment.get(k)]
+
+
+def redacted_all(value: Column, kind: T.DataType, values: list[str] | None = None, patterns: list[str] | None = None) -> Column:
+    """redacted() on every string inside a value of any type: fields of structs, elements of arrays, values of maps."""
+    inner = lambda v, k: redacted_all(v, k, values, patterns)
+    if isinstance(kind, T.StringType):
+        return redacted(value, values, patterns)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: inner(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: inner(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        made = F.struct(*(inner(value[f.name], f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(value.isNotNull(), made)
+    return value
+
+
+def redacted_rows(df: DataFrame, values: list[str] | None = None, patterns: list[str] | None = None) -> DataFrame:
+    """df with every string of every column redacted."""
+    return df.select(*(redacted_all(F.col(f"`{f.name}`"), f.dataType, values, patterns).alias(f.name) for f in df.schema.fields))
+
+
 def unique_lines(text: Column) -> Column:
     """Stripped lines that are not empty, each once, in order."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085  ]"), F.trim), lambda x: x != "")), "\n")
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"), lambda x: F.trim(x))
+    return F.array_join(F.array_distinct(F.filter(lines, lambda x: x != "")), "\n")
 
 
 def safe_cell(value: Column) -> Column:
@@ -190,6 +260,12 @@ def safe_cell(value: Column) -> Column:
     return F.when(value.rlike(r"^[=+\-@\t\r]") & ~value.rlike(r"^-?\d+(\.\d+)?$"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
+@F.pandas_udf(T.StringType())
+def two_decimals(values: pd.Series) -> pd.Series:
+    """The exact binary value with two decimals, ties to even; Java's formatter would round its shortest decimal form half up."""
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.2f}")
+
+
 def joined_cell(values: Column) -> Column:
     return F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), " | ")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import lexicons as lx
-from .text import bound
+from .text import bound, either, named
 
+_TRACKING = rf"(?i)^(?:{lx.TRACKING_PREFIX}[a-z]+|{'|'.join(lx.TRACKING_NAMES)})$"
+SKIPPED = rf"(?i)^\s*{either(lx.SKIP_PREFIXES)}"
 _PARTS = r"^(?i)(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -34,14 +36,12 @@ def _encoded(value: Column) -> Column:
 
 def _clean_query(query: Column) -> Column:
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    pairs = F.filter(pairs, lambda p: ~F.regexp_like(F.regexp_extract(p, "^([^=]*)", 1), F.lit(lx.TRACKING)))
+    pairs = F.filter(pairs, lambda p: ~F.regexp_like(F.regexp_extract(p, "^([^=]*)", 1), F.lit(_TRACKING)))
     return F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(F.regexp_extract(p, "^([^=]*)", 1)), F.lit("="), _encoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)))), "&")
 
 
 def canonical(url: Column) -> Column:
     """Canonical form of an absolute http(s) URL, else NULL."""
-    skipped = r"(?i)^(" + "|".join(lx.SKIP_PREFIXES) + ")"
-
     def assembled(p: Column) -> Column:
         usual = (p["port"] == "") | ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
         valid = (F.length(p["port"]) <= 5) & (F.coalesce(F.try_to_number(F.when(p["port"] == "", "0").otherwise(p["port"]), F.lit("99999")), F.lit(0)) <= 65535)
@@ -52,9 +52,9 @@ def canonical(url: Column) -> Column:
     def parts(u: Column) -> Column:
         host, port = _host_port(_part(u, 2))
         path = bound(_part(u, 3), lambda x: F.when(x == "", "/").otherwise(_clean_path(x)))
-        return F.struct(F.lower(_part(u, 1)).alias("scheme"), host.alias("host"), port.alias("port"), path.alias("path"), _clean_query(_part(u, 4)).alias("query"))
+        return named(scheme=F.lower(_part(u, 1)), host=host, port=port, path=path, query=_clean_query(_part(u, 4)))
 
-    return bound(F.trim(url), lambda u: F.when(~u.rlike(skipped), bound(parts(u), assembled)))
+    return bound(F.trim(url), lambda u: F.when(~u.rlike(SKIPPED), bound(parts(u), assembled)))
 
 
 def host_of(url: Column) -> Column:
@@ -108,23 +108,19 @@ def profile_kind(url: Column) -> Column:
     def kind_of(p: Column) -> Column:
         host, path, query = p["host"], p["path"], p["query"]
         slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-        ok = {
-            "linkedin": path.startswith("/in/") | path.startswith("/pub/"),
-            "github": slashes.isin(1, 2) & (F.regexp_replace(path, "^/+|/+$", "") != "") & ~path.rlike("^/(orgs/|topics/|features|about)"),
+        begins = lambda parts: path.rlike("^" + either(parts))
+        ok = {kind: begins(parts) for kind, parts in lx.PROFILE_PATHS.items()} | {
+            "github": slashes.isin(1, 2) & (F.regexp_replace(path, "^/+|/+$", "") != "") & ~begins(lx.GITHUB_OTHER),
             "google_scholar": query.contains("user="),
-            "orcid": path.rlike(r"^/\d{4}-\d{4}-\d{4}-\d{3}[\dX]"),
-            "researchgate": path.startswith("/profile/"),
-            "dblp": path.startswith("/pid/") | path.startswith("/pers/"),
-            "semantic_scholar": path.startswith("/author/"),
-            "x": (slashes == 1) & (F.length(path) > 1) & ~F.substring(path, 2, 1000).isin("share", "intent", "home", "search"),
-            "bluesky": path.startswith("/profile/"),
+            "orcid": path.rlike(lx.ORCID_PATH),
+            "x": (slashes == 1) & (F.length(path) > 1) & ~F.regexp_replace(path, "^/", "").isin(lx.X_OTHER),
         }
         out = F.lit(None).cast("string")
         for kind, pattern in reversed(lx.PROFILE_HOSTS.items()):
             out = F.when(host.rlike(pattern), F.when(ok[kind], kind)).otherwise(out)
         return out
 
-    return bound(F.struct(host_of(url).alias("host"), path_of(url).alias("path"), _part(url, 4).alias("query")), kind_of)
+    return bound(named(host=host_of(url), path=path_of(url), query=_part(url, 4)), kind_of)
 
 
 def tokens_of(text: Column) -> Column:

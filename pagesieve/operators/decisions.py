@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import lexicons as lx, text as tx
 
+_PERSON = "struct<name: string, title: string, department: string, email: string, research_interests: array<string>, role: string>"
+_PEOPLE = f"array<{_PERSON}>"
 RAW = "struct<page_type: string, people: array<struct<name: string, title: string, department: string, email: string, research_interests: array<string>, role: string>>, position: struct<exists: string, degree_levels: array<string>, title: string, deadline: string, start_date: string, is_expired: string, evidence_quote: string>, funding: struct<status: string, source: string, evidence_quote: string>, field_match: struct<score: string, matched_topics: array<string>, rationale: string>, funding_confidence: string, summary: string>"
 
 
@@ -23,6 +25,9 @@ class Profile:
     min_funding_confidence: float = 0.6
     accept_partial: bool = True
     accept_unclear: bool = False
+    current_degree: str = ""
+    background: str = ""
+    department_tags: list[str] = field(default_factory=list)
 
     def terms(self) -> list[str]:
         """Fields and keywords, stripped, lower-case, each once, in order."""
@@ -40,7 +45,7 @@ def first_json_object(texts: pd.Series) -> pd.Series:
         while at >= 0:
             try:
                 value, _ = decoder.raw_decode(t, at)
-                return json.dumps(value)
+                return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
             except ValueError:
                 at = t.find("{", at + 1)
         return None
@@ -58,9 +63,9 @@ def normalised(raw: Column) -> Column:
     d = F.from_json(raw, RAW)
     synonyms = F.create_map(*(F.lit(x) for kv in lx.LEVEL_SYNONYMS.items() for x in kv))
     levels = F.transform(F.coalesce(d["position"]["degree_levels"], F.array().cast("array<string>")), lambda v: F.coalesce(F.try_element_at(synonyms, F.lower(F.trim(v))), F.lower(F.trim(v))))
-    status = F.lower(F.coalesce(d["funding"]["status"], F.lit("unclear")))
-    people = F.filter(F.coalesce(d["people"], F.array().cast("array<struct<name: string, title: string, department: string, email: string, research_interests: array<string>, role: string>>")), lambda p: p["name"].isNotNull())
-    flag = lambda v: F.coalesce(F.lower(v).isin("true", "1", "yes"), F.lit(False))
+    status = F.lower(F.trim(F.coalesce(d["funding"]["status"], F.lit("unclear"))))
+    people = F.filter(F.coalesce(d["people"], F.array().cast(_PEOPLE)), lambda p: p["name"].isNotNull())
+    flag = lambda v: F.coalesce(F.lower(v).isin("true", "1", "yes", "on", "y", "t"), F.lit(False))
     return F.struct(
         F.coalesce(d["page_type"], F.lit("other")).alias("page_type"),
         people.alias("people"),
@@ -82,51 +87,59 @@ def normalised(raw: Column) -> Column:
     )
 
 
+def valid(raw: Column) -> Column:
+    """Whether the JSON text can be a decision: an object whose people all have names."""
+    d = F.from_json(raw, RAW)
+    named = F.forall(F.coalesce(d["people"], F.array().cast(_PEOPLE)), lambda p: p["name"].isNotNull())
+    return F.coalesce(F.try_parse_json(raw).isNotNull() & raw.startswith("{") & named, F.lit(False))
+
+
 def scored(text: Column, emails: Column, fields: list[str], funding: list[str] | None = None, position: list[str] | None = None, negative: list[str] | None = None) -> Column:
-    """The deterministic scorer: a decision out of sentences and terms, in the form normalised() gives."""
+    """The deterministic scorer: a raw decision out of sentences and terms, to be read by normalised() like any other's."""
     low = F.lower(text)
     none = tx.first_sentence_with(text, negative or lx.NEGATIVE_FUNDING)
     money = F.when(none.isNull(), tx.first_sentence_with(text, funding or lx.FUNDING))
     post = tx.first_sentence_with(text, position or lx.POSITION)
-    matched = F.filter(F.array(*(F.lit(f.lower()) for f in fields)), lambda f: F.contains(low, f))
+    matched = F.filter(F.array(*(F.lit(f.lower()) for f in fields)).cast("array<string>"), lambda f: F.contains(low, f))
     name, title = F.regexp_extract(text, lx.TITLED_NAME, 2), F.regexp_extract(text, lx.TITLED_NAME, 1)
-    person = F.struct(name.alias("name"), title.alias("title"), F.lit(None).cast("string").alias("department"), F.get(emails, F.lit(0)).alias("email"), matched.alias("research_interests"), F.lit("supervisor").alias("role"))
-    has = lambda *terms: F.lit(False) if not terms else F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+    person = F.struct(name.alias("name"), title.alias("title"), F.get(emails, F.lit(0)).alias("email"), matched.alias("research_interests"), F.lit("supervisor").alias("role"))
+    has = lambda *terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
     levels = F.filter(F.array(F.when(has("phd", "doctoral"), "phd"), F.when(has("postdoc"), "postdoc"), F.when(has("master"), "master")), lambda v: v.isNotNull())
     status = F.when(none.isNotNull(), "none").when(money.isNotNull() & F.contains(low, F.lit("fully funded")), "full").when(money.isNotNull(), "partial").otherwise("unclear")
-    nothing = F.lit(None).cast("string")
+    score = F.when(F.size(matched) == 0, 0.1).otherwise(F.least(F.lit(1.0), F.size(matched) * 0.35))
     return F.struct(
         F.when(post.isNotNull(), "position_ad").when(name != "", "person_profile").otherwise("other").alias("page_type"),
         F.filter(F.array(person), lambda p: p["name"] != "").alias("people"),
-        post.isNotNull().alias("position_exists"),
-        levels.alias("degree_levels"),
-        nothing.alias("position_title"),
-        nothing.alias("deadline"),
-        nothing.alias("start_date"),
-        F.lit(False).alias("is_expired"),
-        post.alias("position_quote"),
-        status.alias("funding_status"),
-        nothing.alias("funding_source"),
-        F.coalesce(none, money).alias("funding_quote"),
-        F.when(F.size(matched) == 0, 0.1).otherwise(F.least(F.lit(1.0), F.size(matched) * 0.35)).alias("field_score"),
-        matched.alias("matched_topics"),
-        F.lit("").alias("rationale"),
-        F.when(F.coalesce(none, money).isNotNull(), 0.9).otherwise(0.2).alias("funding_confidence"),
-        F.lit("").alias("summary"),
+        F.struct(post.isNotNull().alias("exists"), levels.alias("degree_levels"), F.lit(False).alias("is_expired"), post.alias("evidence_quote")).alias("position"),
+        F.struct(status.alias("status"), F.coalesce(none, money).alias("evidence_quote")).alias("funding"),
+        F.struct(score.alias("score"), matched.alias("matched_topics"), F.lit("keyword overlap").alias("rationale")).alias("field_match"),
+        F.when(money.isNotNull(), 0.9).otherwise(0.2).alias("funding_confidence"),
+        F.lit("deterministic decision").alias("summary"),
     )
 
 
-def verified(decision: Column, page: Column, page_emails: Column) -> tuple[Column, Column]:
-    """(the decision with people and addresses that the page does not show dropped, struct<position, funding> of quotes found). page in match form."""
-    people = F.filter(decision["people"], lambda p: tx.name_on_page(p["name"], page))
-    people = F.transform(people, lambda p: p.withField("email", F.when(F.array_contains(page_emails, F.lower(p["email"])), p["email"])))
-    found = F.struct(tx.quote_on_page(tx.match_form(decision["position_quote"]), page).alias("position"), tx.quote_on_page(tx.match_form(decision["funding_quote"]), page).alias("funding"))
-    return decision.withField("people", people), found
+def verified(decision: Column, text: Column, page: Column, page_emails: Column, compose: bool = False) -> tuple[Column, Column]:
+    """(the decision with people and addresses that the page does not show dropped, struct<position, funding, dropped_people, dropped_emails>).
+
+    text: the page's text, page: title and text, both in match form; quotes have to stand in the text.
+    """
+    shown = lambda p: tx.name_on_page(p["name"], page)
+    listed = lambda p: F.coalesce(F.array_contains(page_emails, F.lower(F.trim(p["email"]))), F.lit(False)) | (F.coalesce(p["email"], F.lit("")) == "")
+    people = F.filter(decision["people"], shown)
+    quote = lambda q: tx.quote_on_page(tx.match_form(q, compose), text)
+    found = F.struct(
+        quote(decision["position_quote"]).alias("position"),
+        quote(decision["funding_quote"]).alias("funding"),
+        F.transform(F.filter(decision["people"], lambda p: ~shown(p)), lambda p: p["name"]).alias("dropped_people"),
+        F.transform(F.filter(people, lambda p: ~listed(p)), lambda p: p["email"]).alias("dropped_emails"),
+    )
+    return decision.withField("people", F.transform(people, lambda p: p.withField("email", F.when(listed(p), p["email"])))), found
 
 
 def rule_reasons(d: Column, quotes: Column, profile: Profile, today: str) -> Column:
     """Reasons to drop a decision, in a fixed order; none means keep."""
-    date = F.when(d["deadline"].rlike(r"^\d{4}-\d{2}-\d{2}$"), d["deadline"].try_cast("date"))
+    day = F.left(d["deadline"], F.lit(10))
+    date = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
     paid = d["funding_status"].isin("full", "partial")
     topics = F.lower(F.concat_ws(" ", d["matched_topics"], F.flatten(F.transform(d["people"], lambda p: F.coalesce(p["research_interests"], F.array().cast("array<string>"))))))
     excluded = F.lit(False)
@@ -137,7 +150,7 @@ def rule_reasons(d: Column, quotes: Column, profile: Profile, today: str) -> Col
         F.when(~d["position_exists"], "no_open_position"),
         F.when(d["position_exists"] & ~quotes["position"], "position_evidence_not_on_page"),
         F.when(d["position_exists"], F.when(F.size(d["degree_levels"]) == 0, "degree_level_unknown").when(~targeted, "degree_level_not_targeted")),
-        F.when(d["is_expired"] | (date < F.lit(today).cast("date")), "expired"),
+        F.when(d["is_expired"] | F.coalesce(date < F.lit(today).cast("date"), F.lit(False)), "expired"),
         F.when(d["funding_status"] == "none", "no_funding").when((d["funding_status"] == "partial") & (not profile.accept_partial), "partial_funding_not_accepted").when((d["funding_status"] == "unclear") & (not profile.accept_unclear), "funding_unclear"),
         F.when(paid & ~quotes["funding"], "funding_evidence_not_on_page"),
         F.when(paid & (d["funding_confidence"] < profile.min_funding_confidence), "low_funding_confidence"),
@@ -148,14 +161,10 @@ def rule_reasons(d: Column, quotes: Column, profile: Profile, today: str) -> Col
     return F.array_distinct(F.filter(F.array(*reasons), lambda r: r.isNotNull()))
 
 
-def error_class(status: Column, body: Column) -> Column:
-    """struct<retryable, message> of a provider's error reply."""
-    message = F.coalesce(F.get_json_object(body, "$.error.message"), F.get_json_object(body, "$.message"), F.left(body, F.lit(300)))
-    return F.struct(((status == 429) | (status >= 500)).alias("retryable"), message.alias("message"))
-
-
-def user_message(profile_json: Column, meta_json: Column, text: Column, limit: int = 12000) -> Column:
-    return F.concat(F.lit("<<<PROFILE\n"), profile_json, F.lit("\nPROFILE>>>\n<<<PAGE_META\n"), meta_json, F.lit("\nPAGE_META>>>\n<<<PAGE_TEXT\n"), tx.truncated(text, limit), F.lit("\nPAGE_TEXT>>>"))
+def user_message(profile_json: Column, meta_json: Column, text: Column, today: str, limit: int = 12000) -> Column:
+    """The prompt's user part: the day, the profile, what is known of the page, and its text."""
+    part = lambda name, body: F.concat(F.lit(f"<<<{name}\n"), body, F.lit(f"\n{name}>>>\n"))
+    return F.concat(F.lit(f"TODAY: {today}\n\n"), part("PROFILE", profile_json), F.lit("\n"), part("PAGE_META", meta_json), F.lit("\n"), part("PAGE_TEXT", tx.truncated(text, limit)))
 
 
 def from_cache(pages: DataFrame, cache: DataFrame) -> DataFrame:

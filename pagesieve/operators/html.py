@@ -4,47 +4,63 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import lexicons as lx, text as tx, urls
 
-_BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "tr", "td", "th", "dd", "dt", "div", "section", "article", "blockquote", "pre", "table", "ul", "ol", "dl", "address", "figcaption"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_SPACES = re.compile("[ \t\xa0​]+")
+_SPACES = re.compile("[ \t\xa0\u200b]+")
+_SILENT = {"script", "style", "template"}
+_BLOCKS, _STRIP, _BOILERPLATE = set(lx.BLOCK_TAGS), set(lx.STRIP_TAGS), set(lx.BOILERPLATE_TAGS)
+#: Which element holds the page's own text: the first main, else the first with that role, else the first article.
+_MAIN = ("main", "role", "article")
+_LONG_ENOUGH = 200
 
 
 class _Page(HTMLParser):
-    """Collects what parsing needs from tags as they come; unbalanced tags close at the nearest open one."""
+    """Collects what parsing needs from tags as they come; unbalanced tags close at the nearest open one.
+
+    Texts are lists of strings as they stand between tags; None is a line break.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.within: Counter[str] = Counter()
+        self.stripped = self.boilerplate = self.silent = 0
         self.title: list[str] | None = None
         self.lang, self.base, self.robots = None, None, []
         self.links: list[dict] = []
         self.mailto: list[str] = []
         self.protected: list[str] = []
+        self.protected_links: list[str] = []
         self.headings: list[list[str]] = []
         self.everything: list[str] = []
-        self.all: list[str] = []
-        self.plain: list[str] = []
-        self.main: list[str] | None = None
-        self.main_depth = -1
+        self.plain: list[str | None] = []
+        self.main: dict[str, list[str | None]] = {}
+        self.main_depth: dict[str, int] = {}
         self.anchor: dict | None = None
 
-    def _emit(self, s: str) -> None:
-        if any(t in lx.STRIP_TAGS for t in self.open) or "head" in self.open or "title" in self.open:
+    def _emit(self, s: str | None) -> None:
+        if self.stripped or self.within["head"]:
             return
-        self.all.append(s)
-        if not any(t in lx.BOILERPLATE_TAGS for t in self.open):
+        if not self.boilerplate:
             self.plain.append(s)
-        if self.main_depth >= 0:
-            self.main.append(s)
+        for kind in self.main_depth:
+            self.main[kind].append(s)
+
+    def _enter(self, tag: str, by: int) -> None:
+        self.within[tag] += by
+        self.stripped += by * (tag in _STRIP)
+        self.boilerplate += by * (tag in _BOILERPLATE)
+        self.silent += by * (tag in _SILENT)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -56,26 +72,29 @@ class _Page(HTMLParser):
             self.robots += [x.strip().lower() for x in a.get("content", "").split(",") if x.strip()]
         elif tag == "title" and self.title is None:
             self.title = []
+        elif tag == "a" and a.get("href"):
+            self._link(a)
+        elif tag in ("h1", "h2"):
+            self.headings.append([])
         if "data-cfemail" in a:
             self.protected.append(a["data-cfemail"])
-        if tag == "a" and a.get("href"):
-            href = a["href"].strip()
-            if href.lower().startswith("mailto:"):
-                self.mailto += unquote(href[7:]).split("?")[0].split(",")
-            elif "/cdn-cgi/l/email-protection#" in href:
-                self.protected.append(href.rpartition("#")[2])
-            self.anchor = {"href": href, "anchor": [], "nofollow": "nofollow" in a.get("rel", "").lower().split()}
-            self.links.append(self.anchor)
-        if tag in ("h1", "h2"):
-            self.headings.append([])
-        if tag == "br":
-            self._emit("\n")
-        elif tag in _BLOCKS:
-            self._emit("\n")
+        if tag == "br" or tag in _BLOCKS:
+            self._emit(None)
         if tag not in _VOID:
             self.open.append(tag)
-            if self.main is None and (tag in ("main", "article") or a.get("role") == "main"):
-                self.main, self.main_depth = [], len(self.open)
+            self._enter(tag, 1)
+            for kind in _MAIN:
+                if kind not in self.main and (a.get("role") == "main" if kind == "role" else tag == kind):
+                    self.main[kind], self.main_depth[kind] = [], len(self.open)
+
+    def _link(self, a: dict[str, str]) -> None:
+        href = a["href"].strip()
+        if href.lower().startswith("mailto:"):
+            self.mailto += unquote(href[7:].split("?", 1)[0]).split(",")
+        if "/cdn-cgi/l/email-protection#" in href:
+            self.protected_links.append(href.split("#", 1)[1])
+        self.anchor = {"href": href, "anchor": [], "nofollow": "nofollow" in a.get("rel", "").lower().split()}
+        self.links.append(self.anchor)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -83,36 +102,38 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _BLOCKS:
-            self._emit("\n")
         if tag == "a":
             self.anchor = None
-        if tag in self.open:
-            while self.open:
-                if self.main_depth == len(self.open):
-                    self.main_depth = -1
-                if self.open.pop() == tag:
-                    break
+        while self.within[tag]:
+            depth, last = len(self.open), self.open.pop()
+            self._enter(last, -1)
+            self.main_depth = {k: d for k, d in self.main_depth.items() if d != depth}
+            if last == tag:
+                break
+        if tag in _BLOCKS:
+            self._emit(None)
 
     def handle_data(self, data: str) -> None:
-        if "title" in self.open and self.title is not None:
+        if self.within["title"] and self.title is not None:
             self.title.append(data)
-        if not any(t in ("script", "style") for t in self.open):
+        if not self.silent:
             self.everything.append(data)
-        if self.anchor is not None:
-            self.anchor["anchor"].append(data)
-        if self.headings and any(t in ("h1", "h2") for t in self.open):
-            self.headings[-1].append(data)
+            if self.anchor is not None:
+                self.anchor["anchor"].append(data)
+            if self.within["h1"] or self.within["h2"]:
+                self.headings[-1].append(data)
         self._emit(data)
 
 
-def _flat(parts: list[str]) -> str:
-    return " ".join("".join(parts).split())
+def _flat(parts: list[str | None]) -> str:
+    """Strings stripped, joined by blanks; white space inside a string stays."""
+    return " ".join(x for x in (p.strip() for p in parts if p) if x)
 
 
-def _text(parts: list[str]) -> str:
-    joined = html.unescape("".join(p if p == "\n" else p.replace("\n", " ") for p in parts))
-    lines = (_SPACES.sub(" ", x).strip() for x in joined.split("\n"))
+def _text(parts: list[str | None]) -> str:
+    """Stripped lines that are not empty, each once; strings are joined by blanks and broken at breaks and at their own line ends."""
+    joined = _SPACES.sub(" ", html.unescape(" ".join("\n" if p is None else p for p in parts)))
+    lines = (x.strip() for x in joined.splitlines())
     return "\n".join(dict.fromkeys(x for x in lines if x))
 
 
@@ -123,28 +144,29 @@ def _parse(page: str, url: str) -> dict:
     p = _Page()
     p.feed(page)
     p.close()
-    base = urljoin(url, p.base) if p.base else url
-    links = []
-    for x in p.links:
-        try:
-            full = urljoin(base, x["href"])
-        except ValueError:
-            full = None
-        links.append({"href": x["href"], "url": full, "anchor": _flat(x["anchor"])[:200], "nofollow": x["nofollow"]})
-    main = _text(p.main) if p.main else ""
+    base = _joined(url, p.base) or url if p.base else url
+    links = [{"href": x["href"], "url": _joined(base, x["href"]), "anchor": _flat(x["anchor"])[:200], "nofollow": x["nofollow"]} for x in p.links]
+    main = next((p.main[k] for k in _MAIN if k in p.main), [])
     return {
         "title": _flat(p.title or [])[:300],
         "lang": p.lang,
         "meta_robots": sorted(set(p.robots)),
-        "headings": [h for h in (_flat(x)[:200] for x in p.headings) if h][:10],
-        "text": main if len(main) > 200 else _text(p.plain),
-        "raw_text": " ".join(p.everything),
+        "headings": [_flat(x)[:200] for x in p.headings[:10]],
+        "text": _text(main if len(_flat(main)) > _LONG_ENOUGH else p.plain),
+        "raw_text": _flat(p.everything),
         "mailto": p.mailto,
-        "protected": p.protected,
+        "protected": p.protected + p.protected_links,
         "links": links,
     }
 
 
+def _joined(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with title, lang, meta_robots, headings, text, raw_text, mailto, protected, links (resolved, raw)."""
     keep = [c for c in pages.columns if c != "html"]
@@ -167,10 +189,37 @@ def _schema_of(source: DataFrame, keep: list[str]) -> str:
     return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _SCHEMA])
 
 
+def targets(links: Column) -> Column:
+    """Links as array<struct<url (canonical), anchor, kind, nofollow>>; kind is set on profile links. Unusable ones are left out."""
+    usable = F.filter(links, lambda x: x["url"].isNotNull() & ~x["href"].rlike(urls.SKIPPED))
+    made = F.transform(usable, lambda x: tx.named(url=urls.canonical(x["url"]), anchor=x["anchor"], nofollow=x["nofollow"]))
+    made = F.filter(made, lambda x: x["url"].isNotNull())
+    return F.transform(made, lambda x: x.withField("kind", urls.profile_kind(x["url"])))
+
+
+def followable(found: Column) -> Column:
+    """URLs of targets() that a crawl may follow, each once, in order."""
+    return F.array_distinct(F.transform(F.filter(found, lambda x: x["kind"].isNull() & ~x["nofollow"]), lambda x: x["url"]))
+
+
+def n_people(followable_urls: Column) -> Column:
+    """How many of the URLs have a person-like part in their path."""
+    parts = "/" + tx.either(lx.PERSON_SEGMENTS) + "/"
+    return F.size(F.filter(followable_urls, lambda u: F.lower(urls.path_of(u)).rlike(parts)))
+
+
+def profile_links(found: Column) -> Column:
+    """map<kind, array<url>> of the profile links in targets(), each URL once, in order."""
+    known = F.filter(found, lambda x: x["kind"].isNotNull())
+    kinds = F.array_distinct(F.transform(known, lambda x: x["kind"]))
+    urls_of = lambda k: F.array_distinct(F.transform(F.filter(known, lambda x: x["kind"] == k), lambda x: x["url"]))
+    return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, urls_of(k))))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, position, url (canonical), anchor: followable links, each URL once per page with its first anchor; profile links left out."""
-    rows = pages.select("page_id", F.posexplode("links").alias("position", "link")).select("page_id", "position", urls.canonical(F.col("link.url")).alias("url"), "link.anchor", "link.nofollow")
-    rows = rows.where(F.col("url").isNotNull() & ~F.col("nofollow") & urls.profile_kind(F.col("url")).isNull())
+    rows = pages.select("page_id", targets(F.col("links")).alias("found")).select("page_id", F.posexplode("found").alias("position", "link"))
+    rows = rows.where("link.kind is null and not link.nofollow").select("page_id", "position", "link.url", "link.anchor")
     return rows.groupBy("page_id", "url").agg(F.min("position").alias("position"), F.min_by("anchor", "position").alias("anchor"))
 
 
@@ -190,7 +239,7 @@ def page_kind(url: Column, title: Column, headings: Column, position: Column, n_
     return (
         F.when(hit(lx.JOBS_PATH) & position, "position")
         .when((n_emails > 6) | (n_people > 12), "listing")
-        .when((hit(lx.PEOPLE_PATH) | path.contains("/~") | F.lower(title).rlike(lx.ACADEMIC_TITLE)) & (n_emails <= 3), "profile")
+        .when((hit(lx.PEOPLE_PATH) | path.contains("/~") | F.lower(title).rlike(tx.ACADEMIC_TITLE)) & (n_emails <= 3), "profile")
         .when(position & F.exists(F.array(*map(F.lit, lx.POSITION_HINTS)), lambda t: F.contains(head, t)), "position")
         .when(has_profiles & (n_emails <= 2), "profile")
         .otherwise("other")
@@ -217,8 +266,6 @@ _CHARSET = re.compile(rb"""<meta[^>]+charset=["']?([\w-]+)""", re.I)
 
 def decoded(body: Column, content_type: Column) -> Column:
     """Bytes as text: charset of the header, of a meta tag in the first 4096 bytes, UTF-8, cp1252, then UTF-8 with replacements."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(b: pd.Series, kind: pd.Series) -> pd.Series:
         def one(raw: bytes | None, header: str | None) -> str | None:

@@ -21,7 +21,8 @@ def _decoded(pattern: Column) -> Column:
 def rule_regex(pattern: Column) -> Column:
     """Prefix match in which * stands for anything and a final $ for the end."""
     plain = _decoded(F.regexp_replace(pattern, r"\$$", ""))
-    body = F.array_join(F.transform(F.split(plain, r"\*"), lambda p: F.when(p == "", "").otherwise(F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))), ".*")
+    quoted = lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    body = F.array_join(F.transform(F.split(plain, r"\*"), lambda p: F.when(p == "", "").otherwise(quoted(p))), ".*")
     return F.concat(F.lit("(?s)^"), body, F.when(pattern.endswith("$"), "$").otherwise(""))
 
 
@@ -41,10 +42,23 @@ def parsed_rules(files: DataFrame) -> DataFrame:
     path = F.when(F.col("value").rlike(r"^[/*]"), F.col("value")).otherwise(F.concat(F.lit("/"), F.col("value")))
     rules = lines.where("key in ('allow', 'disallow') and value <> ''").select("origin", "group_id", "seq", (F.col("key") == "allow").alias("allow"), path.alias("pattern"))
     delay = F.expr("try_cast(value as double)")
-    delays = lines.where("key = 'crawl-delay'").select("origin", "group_id", delay.alias("d")).where("d >= 0").groupBy("origin", "group_id").agg(F.max("d").alias("crawl_delay"))
+    delays = lines.where("key = 'crawl-delay'").select("origin", "group_id", "seq", delay.alias("d")).where("d >= 0").groupBy("origin", "group_id").agg(F.max_by("d", "seq").alias("crawl_delay"))
     return agents.join(rules, ["origin", "group_id"], "left").join(delays, ["origin", "group_id"], "left").select("origin", "group_id", "agent", "seq", "allow", "pattern", "crawl_delay")
 
 
+def sitemaps(files: DataFrame, most: int = 5) -> DataFrame:
+    """origin, sitemaps: the first few sitemap lines of each file (origin, body)."""
+    lines = F.split(F.left(F.col("body"), F.lit(SIZE_CAP)), r"\r\n|\n|\r")
+    found = F.transform(lines, lambda x: F.trim(F.regexp_extract(F.regexp_replace(x, "#.*$", ""), r"(?i)^\s*sitemap\s*:(.*)$", 1)))
+    return files.select("origin", F.slice(F.filter(found, lambda x: x != ""), 1, most).alias("sitemaps"))
+
+
+def origins(pages: DataFrame) -> DataFrame:
+    """origin, robots_url: one lookup for every origin among the pages' URLs, however many pages it has."""
+    each = pages.select(urls.origin_of(F.col("url")).alias("origin")).where("origin is not null").distinct()
+    return each.select("origin", F.concat("origin", F.lit("/robots.txt")).alias("robots_url"))
+
+
 def chosen_rules(rules: DataFrame, agent: str) -> DataFrame:
     """Rules of all groups that name the agent, else of all * groups; crawl_delay is the largest of the chosen groups."""
     by = W.partitionBy("origin")
@@ -71,11 +85,13 @@ def checked(pages: DataFrame, rules: DataFrame, policies: DataFrame) -> DataFram
 
 
 def explained(pages: DataFrame, files: DataFrame, agent: str, delay: float = 0.0) -> DataFrame:
-    """checked() with crawl_delay and effective_delay, from robots files (origin, status, body)."""
+    """checked() with grp (whose rules applied), crawl_delay, effective_delay and sitemaps, from robots files (origin, status, body)."""
     policies = files.select("origin", policy_mode(F.col("status")).alias("mode"))
-    rules = chosen_rules(parsed_rules(files.where(policy_mode(F.col("status")) == "parsed")), agent)
-    delays = rules.groupBy("origin").agg(F.max("crawl_delay").alias("crawl_delay"))
-    return checked(pages, rules, policies).join(delays, "origin", "left").withColumn("effective_delay", effective_delay(F.lit(delay), F.col("crawl_delay")))
+    read = files.where(policy_mode(F.col("status")) == "parsed")
+    rules = chosen_rules(parsed_rules(read), agent)
+    about = rules.groupBy("origin").agg(F.max("crawl_delay").alias("crawl_delay"), F.max("agent").alias("grp"))
+    out = checked(pages, rules, policies).join(about, "origin", "left").join(sitemaps(read), "origin", "left")
+    return out.withColumns({"grp": F.coalesce("grp", F.lit("none")), "effective_delay": effective_delay(F.lit(delay), F.col("crawl_delay"))})
 
 
 def effective_delay(configured: Column, crawl_delay: Column, floor: float = 2.0) -> Column:

@@ -2,550 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import crawling, deciding, logs, pages, texts
+from .queries.base import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from ..functions import lexicons as lx, text as tx, urls
-from ..operators import crawl, decisions as dc, entities as en, html, robots as rb, stats
-from ..sources import sinks
-from ..sources.snapshots import table
-from . import pipeline as pl
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-# Lexicons of words that the synthetic texts hold: the real ones never occur there.
-POSITION, FUNDING, NEGATIVE, FIELDS = ["and this", "thble", "for"], ["with", "ndonre"], ["the and"], ["that", "erthth", "ingou"]
-PROFILE = dc.Profile(FIELDS, ["Thand "], min_field_match=0.3, accept_unclear=True)
-DOMAINS = ["example.com", "th.example.org"]
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, (int, float)):
-        return repr(v)
-    if isinstance(v, list):
-        return "[" + ", ".join(map(_lit, v)) + "]"
-    return "'" + v.replace("'", "''") + "'"
-
-
-def values(rows: list[tuple], columns: str) -> str:
-    """The same inline relation for DuckDB."""
-    return "(values " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows) + f") as t({columns})"
-
-
-def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def strings(terms: list[str]) -> str:
-    return _lit(list(terms))
-
-
-HOST = "regexp_extract(lower(url), '^https?://([^/?#:]*)', 1)"
-PATH = "case when regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) end"
-QUERY = "regexp_extract(url, '[?]([^#]*)', 1)"
-CANON = f"regexp_extract(lower(url), '^https?', 0) || '://' || {HOST} || ({PATH}) || case when list_filter(string_split({QUERY}, '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|ref_src)=')) = [] then '' else '?' || array_to_string(list_filter(string_split({QUERY}, '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|ref_src)=')), '&') end"
-
-
-@query(f"select page_id, {CANON} as canonical from pages")
-def url_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
-
-
-@query(f"select page_id, {HOST} as host, regexp_extract(lower(url), '^https?', 0) || '://' || {HOST} as origin, ({PATH}) || case when {QUERY} = '' then '' else '?' || {QUERY} end as path_query, coalesce(nullif(regexp_replace(left(trim(regexp_replace(lower({PATH}), '[^a-z0-9]+', '-', 'g'), '-'), 40), '-+$', ''), ''), 'item') as slug from pages")
-def url_host_origin(spark, d):
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", urls.host_of(u).alias("host"), urls.origin_of(u).alias("origin"), urls.path_and_query(u).alias("path_query"), urls.slug(urls.path_of(u)).alias("slug"))
-
-
-@query(f"select page_id, {HOST} as host from pages where " + " or ".join(f"{HOST} = '{x}' or suffix({HOST}, '.{x}')" for x in DOMAINS))
-def scope_filter(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.host_of(F.col("url")).alias("host")).where(urls.in_scope(F.col("host"), DOMAINS))
-
-
-_FILES = [("http://a.example/x.pdf",), ("http://a.example/x.PDF?y=1",), ("http://a.example/x.html",), ("http://a.example/.css",), ("http://a.example/dir.css/",), ("http://a.example/a.tar.gz",), ("http://a.example",)]
-_EXT = "regexp_extract(regexp_extract(({p}), '([^/]*)$', 1), '[^.].*([.][^.]*)$', 1)".replace("{p}", PATH)
-
-
-@query(f"select url, lower({_EXT}) not in ({', '.join(map(_lit, lx.NON_HTML))}) as looks_html from (select url from pages union all select url from {values(_FILES, 'url')})")
-def html_path_filter(spark, d):
-    both = table(spark, d, "pages").select("url").unionAll(frame(spark, _FILES, "url string"))
-    return both.select("url", urls.looks_like_html(F.col("url")).alias("looks_html"))
-
-
-_LINKS = [("https://de.linkedin.com/in/abc",), ("https://www.linkedin.com/company/x",), ("https://github.com/abc",), ("https://github.com/orgs/x",), ("https://github.com/a/b/c",), ("https://scholar.google.de/citations?user=Q1",), ("https://scholar.google.de/citations?hl=en",), ("https://orcid.org/0000-0001-2345-678X",), ("https://www.researchgate.net/profile/A-B",), ("https://dblp.org/pid/1/2",), ("https://www.semanticscholar.org/author/1",), ("https://x.com/abc",), ("https://x.com/share",), ("https://bsky.app/profile/a.b",), ("https://example.org/in/a",)]
-_KINDS = ["linkedin", None, "github", None, None, "google_scholar", None, "orcid", "researchgate", "dblp", "semantic_scholar", "x", None, "bluesky", None]
-
-
-@query(f"select * from {values([(u[0], k) for u, k in zip(_LINKS, _KINDS, strict=True)], 'url, kind')}")
-def profile_links(spark, d):
-    return frame(spark, _LINKS, "url string").select("url", urls.profile_kind(F.col("url")).alias("kind"))
-
-
-_SECTIONS = [("u1", "Chemistry", "department", ["chem"]), ("u1", "Jobs", "jobs", []), ("u1", "Physics", "department", ["Phys"]), ("u2", "Law", "department", ["law"])]
-
-
-@query(f"with s as (select * from {values(_SECTIONS, 'slug, name, kind, tags')}), m as (select *, kind in ('jobs', 'doctoral_school') or list_has_any(list_transform(tags, lambda x: lower(x)), ['phys']) as hit from s) select slug, name from m where hit or not exists (select 1 from m n where n.slug = m.slug and n.hit)")
-def section_select(spark, d):
-    s = frame(spark, _SECTIONS, "slug string, name string, kind string, tags array<string>")
-    hit = F.col("kind").isin("jobs", "doctoral_school") | F.arrays_overlap(F.transform("tags", F.lower), F.array(F.lit("phys")))
-    each = s.groupBy("slug").agg(F.collect_list(F.struct("name", hit.alias("hit"))).alias("all"))
-    chosen = F.filter("all", lambda x: x["hit"])
-    return each.select("slug", F.explode(F.when(F.size(chosen) > 0, chosen).otherwise(F.col("all"))).alias("x")).select("slug", "x.name")
-
-
-_DELAYS = [("a", 1.0, None), ("b", 3.0, 2.5), ("c", None, 7.0), ("d", 0.0, 0.0)]
-
-
-@query(f"select host, greatest(2.0, coalesce(conf, 0), coalesce(crawl, 0))::double as delay from {values(_DELAYS, 'host, conf, crawl')}")
-def effective_delay(spark, d):
-    return frame(spark, _DELAYS, "host string, conf double, crawl double").select("host", rb.effective_delay(F.col("conf"), F.col("crawl")).alias("delay"))
-
-
-_UNENT = "replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
-_TITLE = f"left(trim(regexp_replace({_UNENT.replace('{x}', chr(34) + 't' + chr(34))}, '\\s+', ' ', 'g')), 300)"
-
-
-@query(f"select page_id, {_TITLE} as title, lang from (select page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') as t, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang from pages)")
-def page_title_lang(spark, d):
-    return html.parsed(table(spark, d, "pages")).select("page_id", "title", "lang")
-
-
-@query(f"select page_id, list_aggregate(list_transform(regexp_extract_all(html, '<h[12]>(.*?)</h[12]>', 1, 's')[1:10], lambda t: left(trim(regexp_replace({_UNENT.replace('{x}', 't')}, '\\s+', ' ', 'g')), 200)), 'string_agg', '|') as headings from pages")
-def page_headings(spark, d):
-    return html.parsed(table(spark, d, "pages")).select("page_id", F.array_join("headings", "|").alias("headings"))
-
-
-@query(f"select page_id, count(distinct href) as links, min(href) as first_link from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) where starts_with(href, '/') group by page_id")
-def page_links(spark, d):
-    p = html.parsed(table(spark, d, "pages"))
-    rows = p.select("page_id", F.explode("links").alias("x")).where(F.col("x.href").startswith("/") & F.col("x.url").isNotNull())
-    return rows.groupBy("page_id").agg(F.count_distinct("x.href").alias("links"), F.min("x.href").alias("first_link"))
-
-
-@query()
-def page_text(spark, d):
-    return html.parsed(table(spark, d, "pages")).select("page_id", "text")
-
-
-@query()
-def page_followable_links(spark, d):
-    return html.page_links(html.parsed(table(spark, d, "pages")))
-
-
-@query("""select doc_id, coalesce(string_agg(line, chr(10) order by k), '') as text from (
-  select doc_id, line, min(k) as k from (select doc_id, trim(unnest(string_split(text, chr(10)))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents) where line <> '' group by doc_id, line)
-  group by doc_id union all select doc_id, '' from documents where trim(replace(text, chr(10), ' ')) = ''""")
-def line_dedupe(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.unique_lines(F.col("text")).alias("text"))
-
-
-@query("select doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+[.][A-Za-z]{2,24}'), lambda x: lower(x)))), ' ') as emails from documents where contains(text, '@')")
-def emails_plain(spark, d):
-    return table(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.array_join(F.sort_array(tx.plain_emails(F.col("text"))), " ").alias("emails"))
-
-
-_HIDDEN = [("mail jane.doe [at] uni-x [dot] de now",), ("a(at)b.org or c {AT} d {dot} edu",), ("nobody at home",)]
-
-
-@query(f"select * from {values([(_HIDDEN[0][0], 'jane.doe@uni-x.de'), (_HIDDEN[1][0], 'a@b.org c@d.edu'), (_HIDDEN[2][0], '')], 'text, emails')}")
-def emails_obfuscated(spark, d):
-    return frame(spark, _HIDDEN, "text string").select("text", F.array_join(tx.obfuscated_emails(F.col("text")), " ").alias("emails"))
-
-
-def _protect(address: str, key: int) -> str:
-    return bytes([key, *(b ^ key for b in address.encode())]).hex()
-
-
-_CODED = [(_protect("a.b@c.org", 0x2A), "a.b@c.org"), (_protect("x@y.de", 0xFF), "x@y.de"), ("2", None), ("zz11", None)]
-
-
-@query(f"select * from {values(_CODED, 'code, email')}")
-def cfemail_decode(spark, d):
-    return frame(spark, [(c,) for c, _ in _CODED], "code string").select("code", tx.decode_protected(F.col("code")).alias("email"))
-
-
-_HEADERS = [("text/html; charset=utf-8", "x", "noindex, nofollow"), ("", "<!DOCTYPE html><p>", "pagebot: NoIndex"), ("application/pdf", "<html>", "all"), ("", "plain", "none")]
-
-
-@query(f"select kind, body, tags, lower(trim(string_split(kind, ';')[1])) in ('text/html', 'application/xhtml+xml') or (kind = '' and (starts_with(lower(body), '<!doctype html') or starts_with(lower(body), '<html'))) as is_html, list_has_any(list_transform(string_split_regex(tags, '[,:]'), lambda x: lower(trim(x))), ['noindex', 'none']) as noindex from {values(_HEADERS, 'kind, body, tags')}")
-def content_type(spark, d):
-    return frame(spark, _HEADERS, "kind string, body string, tags string").select("kind", "body", "tags", html.is_html(F.col("kind"), F.col("body")).alias("is_html"), html.directive(html.robots_tags(F.col("tags")), "noindex").alias("noindex"))
-
-
-def _has(terms: list[str]) -> str:
-    return "(" + " or ".join(f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){t}($|[^\\p{{L}}\\p{{N}}_])')" for t in terms) + ")"
-
-
-_SIG = f"select doc_id, text, {_has(POSITION)} as position, {_has(FUNDING)} as funding, {_has(NEGATIVE)} as negative, {_has(FIELDS)} as field from documents"
-
-
-@query(f"select doc_id, position, funding, negative, field from ({_SIG})")
-def lexicon_signals(spark, d):
-    s = table(spark, d, "documents").select("doc_id", tx.signals(F.col("text"), FIELDS, POSITION, FUNDING, NEGATIVE).alias("s"))
-    return s.select("doc_id", *((F.size(f"s.{c}") > 0).alias(n) for c, n in (("position", "position"), ("funding", "funding"), ("negative", "negative"), ("fields", "field"))))
-
-
-_LEVELS = [("A PhD or MSc",), ("msca post-doc",), ("promotion",), ("nothing",)]
-
-
-@query(f"select text, array_to_string(list_filter([{', '.join(f'case when ' + ' or '.join(f'contains(lower(text), {_lit(t)})' for t in ts) + f' then {_lit(k)} end' for k, ts in lx.DEGREES.items())}], lambda x: x is not null), ' ') as levels from (select text from documents union all select text from {values(_LEVELS, 'text')})")
-def degree_levels(spark, d):
-    both = table(spark, d, "documents").select("text").unionAll(frame(spark, _LEVELS, "text string"))
-    return both.select("text", F.array_join(tx.degree_levels(F.col("text")), " ").alias("levels"))
-
-
-_RULES = """case when length(text) < 200 then 'too_little_text' when kind = 'listing' then 'listing_page_follow_links_instead' when negative and not funding then 'page_states_no_funding'
- when kind = 'position' and (position or funding) then 'position_page' when kind = 'profile' and field then 'profile_with_field_terms' when position and (funding or field) then 'position_terms_with_funding_or_field'
- when kind = 'profile' and position then 'profile_mentions_openings' else 'no_position_or_field_signal' end"""
-_KIND = "case doc_id % 4 when 0 then 'position' when 1 then 'profile' when 2 then 'other' else case when doc_id % 3 = 0 then 'listing' else 'other' end end"
-
-
-@query(f"select doc_id, {_RULES} as reason from (select *, {_KIND} as kind from ({_SIG}))")
-def signal_prefilter(spark, d):
-    s = table(spark, d, "documents").select("doc_id", "text", F.expr(_KIND).alias("kind"), tx.signals(F.col("text"), FIELDS, POSITION, FUNDING, NEGATIVE).alias("s"))
-    has = lambda c: F.size(f"s.{c}") > 0
-    return s.select("doc_id", tx.prefilter_reason(F.length("text"), F.col("kind"), has("position"), has("funding"), has("negative"), has("fields")).alias("reason"))
-
-
-@query()
-def page_kind(spark, d):
-    p = pl.prefiltered(pl.analysed(table(spark, d, "pages"), PROFILE, {"position": POSITION, "funding": FUNDING, "negative": NEGATIVE}))
-    return p.groupBy("kind", "prefilter").agg(F.count("*").alias("pages"))
-
-
-_TOKENS = "list_distinct(list_filter(string_split_regex(lower(url), '[^a-z0-9~äöüß]+'), lambda x: x <> ''))"
-_SCORE = f"(case when list_has_any({_TOKENS}, {strings(lx.JOBS_PATH)}) then 6 else 0 end + case when list_has_any({_TOKENS}, {strings(lx.PEOPLE_PATH)}) or contains(url, '/~') then 4 else 0 end + case when list_has_any({_TOKENS}, {strings(lx.RESEARCH_PATH)}) then 3 else 0 end + case when contains(lower(url), 'th') or contains(lower(url), 'news') then 3 else 0 end - case when list_has_any({_TOKENS}, {strings(lx.LOW_VALUE_PATH)}) then 5 else 0 end)::int"
-_SCORED = [("https://a.example/jobs/phd",), ("https://a.example/~doe/",), ("https://a.example/research/news",), ("https://a.example/login",)]
-
-
-@query(f"select url, {_SCORE} as score from (select url from pages union all select url from {values(_SCORED, 'url')})")
-def link_score(spark, d):
-    both = table(spark, d, "pages").select("url").unionAll(frame(spark, _SCORED, "url string"))
-    return both.select("url", urls.link_score(F.col("url"), F.lit(""), ["th", "news"]).alias("score"))
-
-
-def _graph(spark, d) -> DataFrame:
-    """Links between pages: a deterministic stand-in with three links per page."""
-    p = table(spark, d, "pages").select("page_id")
-    return p.select(F.col("page_id").cast("string").alias("source"), F.posexplode(F.array(*(((F.col("page_id") * m + k) % 197).cast("string") for m, k in ((3, 1), (5, 2), (7, 4))))).alias("position", "url")).withColumn("score", (F.length("url") + F.col("url").cast("int") % 5).cast("int"))
-
-
-_G = "select page_id::varchar as source, unnest([((page_id*3+1)%197)::varchar, ((page_id*5+2)%197)::varchar, ((page_id*7+4)%197)::varchar]) as url from pages"
-
-
-@query(f"""with recursive l as (select source, url, (length(url) + url::int % 5)::int as score from ({_G})),
- walk(url, depth) as (select '0', 0 union select l.url, walk.depth + 1 from walk join l on l.source = walk.url where walk.depth < 3),
- first as (select url, min(depth) as depth from walk group by url)
- select f.url, f.depth, case when f.depth = 0 then 100 else (select max(l.score) from l join first g on l.source = g.url where l.url = f.url and g.depth = f.depth - 1) end as score from first f""")
-def frontier_levels(spark, d):
-    return crawl.frontier_by_level(frame(spark, [("0",)], "url string"), _graph(spark, d).select("source", "url", "score"), 3)
-
-
-@query()
-def frontier_exact(spark, d):
-    seeds = frame(spark, [("u", 0, "0"), ("u", 1, "5")], "university string, position int, url string")
-    return crawl.frontier_in_order(seeds, _graph(spark, d).select(F.lit("u").alias("university"), "source", "position", "url", "score"), 100, 6)
-
-
-_ROBOTS = [("https://a.example", 200, "User-agent: *\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 3\n"), ("https://b.example", 200, "Sitemap: /s.xml\nUser-agent: pagebot/1.0\nUser-agent: other\nDisallow: /*.pdf$\nDisallow:\nUser-agent: *\nDisallow: /\n"), ("https://c.example", 503, ""), ("https://d.example", 404, "")]
-_PATHS = [("https://a.example/private/x",), ("https://a.example/private/open/y",), ("https://a.example/",), ("https://b.example/a.pdf",), ("https://b.example/a.pdf?x=1",), ("https://c.example/x",), ("https://c.example/robots.txt",), ("https://d.example/x",)]
-
-
-@query(f"""select * from {values([('https://a.example', '*', False, '/private', 3.0), ('https://a.example', '*', True, '/private/open', 3.0), ('https://b.example', 'pagebot', False, '/*.pdf$', None)], 'origin, agent, allow, pattern, crawl_delay')}""")
-def robots_parse(spark, d):
-    rules = rb.chosen_rules(rb.parsed_rules(frame(spark, _ROBOTS, "origin string, status int, body string").where("status = 200")), "pagebot")
-    return rules.select("origin", "agent", "allow", "pattern", "crawl_delay")
-
-
-_CHECKED = [("https://a.example/private/x", False, "/private"), ("https://a.example/private/open/y", True, "/private/open"), ("https://a.example/", True, None), ("https://b.example/a.pdf", False, "/*.pdf$"), ("https://b.example/a.pdf?x=1", True, None), ("https://c.example/x", False, None), ("https://c.example/robots.txt", True, None), ("https://d.example/x", True, None)]
-
-
-@query(f"select * from {values(_CHECKED, 'url, allowed, rule')}")
-def robots_check(spark, d):
-    pages = frame(spark, _PATHS, "url string").withColumn("origin", urls.origin_of(F.col("url")))
-    return rb.explained(pages, frame(spark, _ROBOTS, "origin string, status int, body string"), "pagebot").select("url", "allowed", "rule")
-
-
-_STATUS = [(s,) for s in (0, 200, 204, 301, 401, 403, 404, 410, 429, 500, 503)]
-
-
-@query(f"select status, case when status between 200 and 299 then 'parsed' when status in (0, 401, 403, 429) or status >= 500 then 'disallow_all' else 'allow_all' end as mode from {values(_STATUS, 'status')}")
-def robots_status_policy(spark, d):
-    return frame(spark, _STATUS, "status int").select("status", rb.policy_mode(F.col("status")).alias("mode"))
-
-
-_BODIES = [(None, "please verify you are human", 200), ("challenge", "", 200), (None, "fine", 403), (None, "Just a moment..." + "x" * 70000, 200), (None, "Just a moment..." + "x" * 70000, 503)]
-
-
-@query(f"select status, length(body) as size, coalesce(header = 'challenge', false) or (({' or '.join(f'contains(lower(left(body, 40000)), {_lit(m)})' for m in lx.CHALLENGE_MARKERS)}) and (status in (403, 429, 503) or length(body) < 60000)) as challenged from {values(_BODIES, 'header, body, status')}")
-def challenge_detect(spark, d):
-    return frame(spark, _BODIES, "header string, body string, status int").select("status", F.length("body").cast("bigint").alias("size"), crawl.challenged(F.col("header"), F.col("body"), F.col("status")).alias("challenged"))
-
-
-_CODE = "case event_type when 'error' then 503 when 'signup' then 404 when 'purchase' then 429 else 200 end"
-
-
-@query()
-def guard_replay(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("int").alias("attempt"), F.expr(_CODE).cast("int").alias("status"), F.lit(None).cast("double").alias("retry_after"), F.lit(False).alias("challenge"))
-    return crawl.guard(e)
-
-
-@query("""select user_id, event_id, round(2.0 * rn + max(s - 2.0 * rn) over (partition by user_id order by rn rows unbounded preceding), 6) as start from (
-  select user_id, event_id, epoch_us(ts) / 1e6 - 1.7e9 as s, row_number() over (partition by user_id order by event_id) as rn from events)""")
-def host_spacing(spark, d):
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    r = table(spark, d, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), (micros / 1e6 - 1.7e9).alias("arrival"))
-    return crawl.spaced(r, F.lit(2.0)).select(F.col("host").alias("user_id"), F.col("seq").alias("event_id"), "start")
-
-
-@query("select event_id, count(*) over (partition by event_type order by epoch_us(ts) range between 59999999 preceding and current row) as in_window from events")
-def rpm_audit(spark, d):
-    r = table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return crawl.calls_in_last_minute(r, "event_type").select("event_id", "in_window")
-
-
-@query("select doc_id, (length(text) % 3 = 0) or sum(case when length(text) % 3 = 0 then 0 else 1 end) over (partition by source order by doc_id rows unbounded preceding) <= 20 as allowed from documents")
-def llm_budget(spark, d):
-    v = table(spark, d, "documents").select("source", "doc_id", (F.length("text") % 3 == 0).alias("cached"))
-    return crawl.within_budget(v, "source", "doc_id", 20).select("doc_id", "allowed")
-
-
-_TRIES = [(a, r) for a in range(0, 9) for r in (None, 7.0)]
-
-
-@query(f"select attempt, retry_after, case when attempt <= 7 then coalesce(retry_after, least(60.0, pow(2, attempt))) end::double as wait from {values(_TRIES, 'attempt, retry_after')}")
-def retry_schedule(spark, d):
-    return frame(spark, _TRIES, "attempt int, retry_after double").select("attempt", "retry_after", crawl.retry_schedule(7, F.col("retry_after"), F.col("attempt")).alias("wait"))
-
-
-@query("select doc_id, md5(case when length(text) <= 1000 then text else left(text, 800) || chr(10) || '[... truncated ...]' || chr(10) || right(text, 200) end) as digest from documents")
-def truncate_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(tx.truncated(F.col("text"), 1000)).alias("digest"))
-
-
-@query("select doc_id, sha256(lang || chr(0) || source || chr(0) || text || chr(0)) as cache_key from documents")
-def cache_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.cache_key(F.col("lang"), F.col("source"), F.col("text")).alias("cache_key"))
-
-
-@query(f"select doc_id, list_filter({strings(FIELDS)}, lambda f: contains(lower(text), f)) = [] as nothing, round(case when len(list_filter({strings(FIELDS)}, lambda f: contains(lower(text), f))) = 0 then 0.1 else least(1.0, 0.35 * len(list_filter({strings(FIELDS)}, lambda f: contains(lower(text), f)))) end, 6)::double as score from documents")
-def mock_scorer(spark, d):
-    s = table(spark, d, "documents").select("doc_id", dc.scored(F.col("text"), F.array().cast("array<string>"), FIELDS, FUNDING, POSITION, NEGATIVE).alias("d"))
-    return s.select("doc_id", (F.size("d.matched_topics") == 0).alias("nothing"), F.round("d.field_score", 6).alias("score"))
-
-
-_REPLIES = [('```json\n{"a": 1}\n```', '{"a": 1}'), ('see {x} then {"b": {"c": "}"}} end', '{"b": {"c": "}"}}'), ("none", None)]
-
-
-@query(f"select * from {values(_REPLIES, 'reply, object')}")
-def json_extract(spark, d):
-    return frame(spark, [(r,) for r, _ in _REPLIES], "reply string").select("reply", dc.first_json_object(F.col("reply")).alias("object"))
-
-
-_RAW = [('{"funding": {"status": "FULL"}, "field_match": {"score": "0.7"}, "funding_confidence": 3, "position": {"exists": true, "degree_levels": ["PhD", "doctoral", "msc", "ba"]}}', "full", 0.7, 1.0, "phd master"), ('{"funding": {"status": "maybe"}, "field_match": {"score": "x"}}', "unclear", 0.0, 0.0, ""), ("{}", "unclear", 0.0, 0.0, "")]
-
-
-@query(f"select * from {values(_RAW, 'raw, status, score, confidence, levels')}")
-def decision_normalize(spark, d):
-    n = frame(spark, [(r[0],) for r in _RAW], "raw string").select("raw", dc.normalised(F.col("raw")).alias("d"))
-    return n.select("raw", F.col("d.funding_status").alias("status"), F.col("d.field_score").alias("score"), F.col("d.funding_confidence").alias("confidence"), F.array_join("d.degree_levels", " ").alias("levels"))
-
-
-@query("select item_id, doc_id from benchmark, documents where length(trim(regexp_replace(lower(benchmark.text), '\\s+', ' ', 'g'), ' .\"''')) >= 8 and contains(regexp_replace(lower(documents.text), '\\s+', ' ', 'g'), trim(regexp_replace(lower(benchmark.text), '\\s+', ' ', 'g'), ' .\"'''))")
-def quote_verify(spark, d):
-    quotes = table(spark, d, "benchmark").select("item_id", tx.match_form(F.col("text")).alias("quote"))
-    pages = table(spark, d, "documents").select("doc_id", tx.match_form(F.col("text")).alias("page"))
-    # candidates by an equi-join on the first two words of the quote: a quote on the page has them side by side
-    words = F.split("page", " ")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = pages.select("doc_id", F.explode(F.array_distinct(pairs)).alias("key"))
-    q = quotes.withColumn("key", F.substring_index("quote", " ", 2))
-    found = grams.join(q.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    return found.join(q, "item_id").join(pages, "doc_id").where(tx.quote_on_page(F.col("quote"), F.col("page"), 1.0)).select("item_id", "doc_id")
-
-
-_NAMES = [("Prof. Dr. Ada Byron", "we met ada byron today", True), ("Byron, Ada", "ada of the byron group", True), ("Dr. Ad", "ad hoc", False), ("Ada Byron", "adam byron", False), ("Xy", "xy", False)]
-
-
-@query(f"select name, page, ok from {values(_NAMES, 'name, page, ok')}")
-def name_verify(spark, d):
-    return frame(spark, [r[:2] for r in _NAMES], "name string, page string").select("name", "page", tx.name_on_page(F.col("name"), F.col("page")).alias("ok"))
-
-
-_MAILS = [("a@b.c", ["a@b.c", "x@y.z"], "a@b.c"), ("A@B.c", ["a@b.c"], "A@B.c"), ("q@b.c", ["a@b.c"], None)]
-
-
-@query(f"select email, kept from {values(_MAILS, 'email, seen, kept')}")
-def email_whitelist(spark, d):
-    return frame(spark, [r[:2] for r in _MAILS], "email string, seen array<string>").select("email", F.when(F.array_contains("seen", F.lower("email")), F.col("email")).alias("kept"))
-
-
-_RULED = [
-    ('{"position": {"exists": true, "degree_levels": ["phd"], "evidence_quote": "an open position here"}, "funding": {"status": "full", "evidence_quote": "is fully funded by us"}, "field_match": {"score": 0.6}, "funding_confidence": 0.6, "people": [{"name": "Ada Byron"}]}', ""),
-    ('{"position": {"exists": false}, "funding": {"status": "none"}, "field_match": {"score": 0.2}, "people": []}', "no_open_position no_funding off_field no_person_identified"),
-    ('{"position": {"exists": true, "degree_levels": ["postdoc"], "deadline": "2020-01-01", "evidence_quote": "not there at all"}, "funding": {"status": "partial", "evidence_quote": "is fully funded by us"}, "field_match": {"score": 0.9, "matched_topics": ["Lasers"]}, "funding_confidence": 0.1, "people": [{"name": "Ada Byron"}]}', "position_evidence_not_on_page degree_level_not_targeted expired partial_funding_not_accepted low_funding_confidence excluded_topic"),
-]
-_STRICT = dc.Profile(["optics"], [], ["lasers"], accept_partial=False)
-
-
-@query(f"select * from {values(_RULED, 'raw, reasons')}")
-def keep_rules(spark, d):
-    n = frame(spark, [(r[0],) for r in _RULED], "raw string").select("raw", dc.normalised(F.col("raw")).alias("d"), F.lit("ada byron has an open position here; it is fully funded by us").alias("page"))
-    checked, quotes = dc.verified(n["d"], n["page"], F.array().cast("array<string>"))
-    return n.select("raw", F.array_join(dc.rule_reasons(checked, quotes, _STRICT, "2025-06-01"), " ").alias("reasons"))
-
-
-def _people(spark, d) -> DataFrame:
-    """conversations as records: a conversation's turns name one person, half of them by address."""
-    c = table(spark, d, "conversations")
-    return c.select(F.lit("u").alias("university"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat(F.lit("Dr. Name "), F.translate((F.col("conv_id") % 7).cast("string"), "0123456", "abcdefg")).alias("name"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("M"), (F.col("conv_id") % 11).cast("string"), F.lit("@x.org"))).otherwise("").alias("email"), F.col("role").alias("rationale"), F.when(F.col("turn") % 3 == 0, "full").otherwise("none").alias("funding_status"), (F.col("turn") % 10 / 10).alias("field_match_score"))
-
-
-@query("""with r as (select conv_id * 1000 + turn as seq, 'name ' || translate((conv_id % 7)::varchar, '0123456', 'abcdefg') as k, case when turn % 2 = 0 then 'm' || (conv_id % 11) || '@x.org' end as e,
-   case when turn % 3 = 0 then 'full' else 'none' end as status, (turn % 10) / 10.0 as score from conversations),
- mail as (select e, min(seq) as f, arg_min(k, seq) as k from r where e is not null group by e),
- anchor as (select k, min(f) as f from (select k, f from mail union all select k, min(seq) from r where e is null group by k) group by k),
- x as (select r.*, coalesce(mail.f, anchor.f) as entity from r left join mail on r.e = mail.e left join anchor on r.e is null and r.k = anchor.k)
- select entity as seq, coalesce(arg_min(e, seq) filter (e is not null), '') as email, case when bool_or(status = 'full') then 'full' else 'none' end as funding_status, max(score)::double as field_match_score from x group by entity""")
-def entity_merge(spark, d):
-    m = en.merged(_people(spark, d))
-    return m.select("seq", F.lower("email").alias("email"), "funding_status", "field_match_score")
-
-
-@query(f"select * from {values([('u', 7000, 'A B', 'Dept'), ('u', 7001, 'C D', 'Own')], 'university, seq, name, department')}")
-def records_explode(spark, d):
-    raw = '{"people": [{"name": "A B"}, {"name": "C D", "department": "Own", "role": "contact"}, {"name": "E F", "role": "author"}]}'
-    kept = frame(spark, [("u", 7, "https://a.example/", "Dept", raw)], "university string, visit int, url string, section string, raw string").select("university", "visit", "url", "section", F.create_map(F.lit("github"), F.array(F.lit("https://github.com/a"))).alias("profile_links"), dc.normalised(F.col("raw")).alias("d"))
-    return en.records(kept).select("university", "seq", "name", "department")
-
-
-_CELLS = [("=1+1", "'=1+1"), ("-5", "-5"), ("-5.25", "-5.25"), ("-x", "'-x"), ("@a", "'@a"), ("+49 1", "'+49 1"), ("a=b", "a=b"), ("", "")]
-
-
-@query(f"select value, cell, 'a | c' as list from {values(_CELLS, 'value, cell')}")
-def csv_cells(spark, d):
-    return frame(spark, [(v,) for v, _ in _CELLS], "value string").select("value", tx.safe_cell(F.col("value")).alias("cell"), tx.joined_cell(F.array(F.lit("a"), F.lit(""), F.lit(None), F.lit("c"))).alias("list"))
-
-
-@query(r"""select doc_id, md5(regexp_replace(regexp_replace(text, '(token = ")[0-9a-f]{40}', '\1<redacted>', 'g'), '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', '<redacted>', 'g')) as digest from documents""")
-def redact_text(spark, d):
-    own = [r'(token = ")[0-9a-f]{40}', r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"]
-    return table(spark, d, "documents").select("doc_id", F.md5(tx.redacted(F.col("text"), patterns=own)).alias("digest"))
-
-
-_CONFIGS = [("uni-a", 300, 3, 1.0, ["https://a.example/x"], ["a.example"]), ("Bad Slug", 5000, 9, 3.0, ["https://b.example/"], ["c.example"]), ("c", 10, 0, 2.5, ["ftp://c.example"], ["c.example"])]
-
-
-@query(f"select * from {values([('uni-a', 2.0, ''), ('Bad Slug', 3.0, 'slug max_pages max_depth seed_out_of_scope'), ('c', 2.5, 'seed_scheme')], 'slug, delay, violations')}")
-def config_violations(spark, d):
-    c = frame(spark, _CONFIGS, "slug string, max_pages int, max_depth int, min_delay double, seeds array<string>, domains array<string>")
-    inside = F.forall("seeds", lambda s: F.exists("domains", lambda x: (urls.host_of(s) == x) | F.endswith(urls.host_of(s), F.concat(F.lit("."), x)) | urls.host_of(s).isNull()))
-    found = [F.when(~F.col("slug").rlike("^[a-z0-9][a-z0-9-]*$"), "slug"), F.when(~F.col("max_pages").between(1, 3000), "max_pages"), F.when(~F.col("max_depth").between(0, 6), "max_depth"), F.when(F.exists("seeds", lambda s: ~s.rlike("^https?://")), "seed_scheme"), F.when(~inside, "seed_out_of_scope")]
-    return c.select("slug", F.greatest("min_delay", F.lit(2.0)).alias("delay"), F.concat_ws(" ", *found).alias("violations"))
-
-
-@query(f"select slug, unnest(seeds) as seed from {values([(c[0], c[4]) for c in _CONFIGS], 'slug, seeds')} order by slug")
-def list_sections(spark, d):
-    return frame(spark, [(c[0], c[4]) for c in _CONFIGS], "slug string, seeds array<string>").select("slug", F.explode("seeds").alias("seed")).orderBy("slug")
-
-
-@query("select event_type, count(*) as n, sum(case when value > 50 then 1 else 0 end)::bigint as slow from events group by event_type")
-def run_counters(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("bigint")).alias("slow"))
-
-
-@query("""with e as (select event_type, list(value order by value) as v, count(*) as n from events where value is not null group by event_type)
- select event_type, n as count, round(v[round_even(0.95 * (n - 1), 0)::bigint + 1], 1) as p95, round(v[n], 1) as max from e""")
-def timing_summary(spark, d):
-    return stats.timing_summary(table(spark, d, "events"), "event_type", "value").select("event_type", "count", "p95", "max")
-
-
-@query("select count(*) as events, count(distinct user_id) as users, sum(case when event_type = 'error' then 1 else 0 end)::bigint as errors from events")
-def grand_totals(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.sum((F.col("event_type") == "error").cast("bigint")).alias("errors"))
-
-
-_SPANS = [("r", "1", None, "run"), ("r", "2", "1", "crawl"), ("r", "3", "2", "fetch"), ("r", "4", "1", "write"), ("q", "1", None, "run")]
-
-
-@query(f"""with recursive s as (select * from {values(_SPANS, 'run_id, span_id, parent_span_id, name')}), tree as (
- select run_id, span_id, 0 as depth, name as path from s where parent_span_id is null union all
- select s.run_id, s.span_id, tree.depth + 1, tree.path || '/' || s.name from s join tree on s.parent_span_id = tree.span_id and s.run_id = tree.run_id) select * from tree""")
-def span_tree(spark, d):
-    frame(spark, _SPANS, "run_id string, span_id string, parent_span_id string, name string").createOrReplaceTempView("pagesieve_spans")
-    return stats.span_tree(spark, "pagesieve_spans")
-
-
-@query("select event_id, coalesce(props, '') as detail from events where event_type in ('error', 'signup')")
-def log_warnings(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("error", "signup")).select("event_id", F.coalesce("props", F.lit("")).alias("detail"))
-
-
-@query("select event_id, event_type from events where user_id = 7")
-def log_url(spark, d):
-    return table(spark, d, "events").where("user_id = 7").select("event_id", "event_type")
-
-
-@query("select event_id, value from events order by value desc, event_id limit 10")
-def log_slowest(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "value")
-
-
-@query("select (props::json->>'k')::bigint as rule, count(*) as n from events group by 1")
-def log_rule_counts(spark, d):
-    return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("rule")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
-
-
-@query("select event_id, user_id, value >= 50 as keep from events where event_type = 'purchase'")
-def log_decisions(spark, d):
-    return table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", (F.col("value") >= 50).alias("keep"))
-
-
-@query("select event_type as reason, count(*) as n from events group by 1 order by n desc, 1 limit 8")
-def log_summary(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(8)
-
-
-_PERSON = "<html lang='en'><head><title>{0}</title></head><body><article><h1>{0}</h1><p>{1}</p></article></body></html>"
-_ADA = "Prof. Ada Byron studies that erthth and its ways, and has done so in many places over many years. We offer thble work to a doctoral student in this group. The post comes with a contract and is fully funded. Write to ada@byron.example.org at any time of the year."
-_BOB = "Dr. Bob Carter studies that erthth as well, in the same house and on the same floor, and gives lessons. We offer thble work to a master student in this group. The post comes with nothing but good company over there. Write to bob@carter.example.org at any time."
-_SITE = [(-1, "https://mini.example.org/people/ada", _PERSON.format("Prof. Ada Byron", _ADA)), (-2, "https://mini.example.org/jobs/1", _PERSON.format("Open position", _ADA)), (-3, "https://mini.example.org/people/bob", _PERSON.format("Dr. Bob Carter", _BOB))]
-
-
-def _evaluated(spark, d):
-    pages = table(spark, d, "pages").unionByName(frame(spark, _SITE, "page_id long, url string, html string"))
-    return pl.evaluate(pages, PROFILE, today="2025-06-01", terms={"position": POSITION, "funding": FUNDING, "negative": NEGATIVE})
-
-
-@query()
-def decision_pipeline(spark, d):
-    """Flagship: the pages and a small fictional site, to merged records."""
-    return _evaluated(spark, d)[0]
-
-
-@query()
-def record_cells(spark, d):
-    return sinks.cells(decision_pipeline(spark, d))
-
-
-@query()
-def page_rejections(spark, d):
-    return _evaluated(spark, d)[1]
+__all__ = ["ORACLES", "QUERIES", "Query", "crawling", "deciding", "logs", "pages", "texts"]

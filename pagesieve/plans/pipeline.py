@@ -1,26 +1,26 @@
-"""evaluate(): pages to kept records, rejections and statistics, as one declarative plan."""
+"""evaluate(): pages to kept records, rejections and statistics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as tx, urls
-from ..operators import decisions as dc, entities as en, html
+from ..functions import lexicons as lx, text as tx, urls
+from ..operators import classify as cl, decisions as dc, entities as en, html
 from ..sources.shared import stored
 
+SHOWN_TITLE, SHOWN_SUMMARY = 200, 300
+
 
 def analysed(pages: DataFrame, profile: dc.Profile, terms: dict[str, list[str]] | None = None) -> DataFrame:
     """Parsed pages with canonical URL, emails, signals, profile links and kind. terms may replace the position, funding and negative lexicons."""
     terms = terms or {}
     p = html.parsed(pages)
-    p = p.withColumns({"canonical": F.coalesce(urls.canonical(F.col("url")), F.col("url")), "emails": html.emails(p)})
+    p = p.withColumns({"canonical": F.coalesce(urls.canonical(F.col("url")), F.col("url")), "emails": html.emails(p), "found": html.targets(F.col("links"))})
     p = p.withColumn("signals", tx.signals(F.concat_ws("\n", "title", "text"), profile.terms(), terms.get("position"), terms.get("funding"), terms.get("negative")))
-    targets = F.transform("links", lambda x: urls.canonical(x["url"]))
-    known = F.filter(F.transform(targets, lambda u: F.struct(urls.profile_kind(u).alias("kind"), u.alias("url"))), lambda x: x["kind"].isNotNull())
-    people = F.filter("links", lambda x: x["url"].rlike("/(people|person|staff|team|members|profile)/"))
-    p = p.withColumns({"profiles": known, "n_people": F.size(F.array_distinct(F.transform(people, lambda x: x["url"])))})
-    p = stored(p, "pages-analysed")
-    return p.withColumn("kind", html.page_kind(F.col("canonical"), F.col("title"), F.col("headings"), F.size("signals.position") > 0, F.size("emails"), F.col("n_people"), F.size("profiles") > 0))
+    p = stored(p.drop("links", "raw_text", "mailto", "protected"), "pages-analysed")
+    p = p.withColumns({"profile_links": html.profile_links(F.col("found")), "n_people": html.n_people(html.followable(F.col("found")))})
+    kind = html.page_kind(F.col("canonical"), F.col("title"), F.col("headings"), F.size("signals.position") > 0, F.size("emails"), F.col("n_people"), F.size("profile_links") > 0)
+    return p.withColumn("kind", kind)
 
 
 def prefiltered(analysed_pages: DataFrame, mode: str = "loose", least: int = 200) -> DataFrame:
@@ -29,25 +29,59 @@ def prefiltered(analysed_pages: DataFrame, mode: str = "loose", least: int = 200
     return analysed_pages.withColumn("prefilter", reason).withColumn("accepted", F.col("prefilter").isin(tx.ACCEPTED))
 
 
-def evaluate(pages: DataFrame, profile: dc.Profile, *, today: str, university: str = "all", mode: str = "loose", terms: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, rejections, statistics) of pages (page_id, url, html), scored by the deterministic scorer.
+def evaluate(
+    pages: DataFrame,
+    profile: dc.Profile,
+    *,
+    today: str,
+    university: str = "all",
+    mode: str = "loose",
+    least: int = 200,
+    terms: dict[str, list[str]] | None = None,
+    scorer: cl.Scorer | None = None,
+    cache: DataFrame | None = None,
+    budget: int = 1 << 40,
+    run_id: str = "",
+    checked_utc: str = "",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, rejections, statistics) of pages (page_id, url, html; university, visit and section where present).
 
-    Rejections hold what rules dropped, and what the prefilter dropped although it showed a position or funding signal.
+    Without a scorer the deterministic one decides. Rejections hold what the scorer or the rules dropped, and what the
+    prefilter dropped although it showed a position or funding signal.
     """
     terms = terms or {}
-    seen = prefiltered(analysed(pages, profile, terms), mode)
-    scored = seen.where("accepted").withColumn("d", dc.scored(F.concat_ws("\n", "title", "text"), F.col("emails"), profile.terms(), terms.get("funding"), terms.get("position"), terms.get("negative")))
-    scored = scored.withColumn("form", tx.match_form(F.concat_ws("\n", "title", "text")))
-    # the scorer's output is written once: a retried task never asks it again, and later expressions stay small
-    scored = stored(scored, "pages-scored")
-    checked, quotes = dc.verified(scored["d"], scored["form"], scored["emails"])
-    judged = scored.withColumns({"quotes": quotes, "d": checked})
-    judged = stored(judged, "pages-verified").withColumn("reasons", dc.rule_reasons(F.col("d"), F.col("quotes"), profile, today))
-    links = F.map_from_entries(F.transform(F.array_distinct(F.transform("profiles", lambda x: x["kind"])), lambda k: F.struct(k, F.array_distinct(F.transform(F.filter("profiles", lambda x: x["kind"] == k), lambda x: x["url"])))))
-    kept = judged.where(F.size("reasons") == 0).select(F.lit(university).alias("university"), F.col("page_id").alias("visit"), F.col("canonical").alias("url"), F.lit("").alias("section"), links.alias("profile_links"), "d")
+    if scorer is None:
+        raw = [*profile.target_fields, *profile.keywords]
+        scorer = cl.SentenceScorer(fields=raw, **{k: v for k, v in terms.items() if k in ("position", "funding", "negative")})
+    given = {"university": F.lit(university), "visit": F.col("page_id"), "section": F.lit("")}
+    pages = pages.withColumns({c: v for c, v in given.items() if c not in pages.columns})
+    seen = stored(prefiltered(analysed(pages, profile, terms), mode, least), "pages-seen")
+    passed = seen.where("accepted").select("university", "visit", "section", F.col("canonical").alias("url"), "kind", "title", "text", "emails", "profile_links", "signals")
+    judged = cl.classified(passed, profile, scorer, today=today, cache=cache, budget=budget)
+    run = {"llm_provider": scorer.name, "llm_model": scorer.model, "last_checked_utc": checked_utc, "run_id": run_id}
+    kept = judged.where("keep").withColumns({c: F.lit(v) for c, v in run.items()})
     records = en.merged(en.records(kept))
     signalled = (F.size("signals.position") > 0) | (F.size("signals.funding") > 0)
-    early = seen.where(~F.col("accepted") & signalled).select(F.col("canonical").alias("url"), "kind", F.lit("prefilter").alias("stage"), F.array("prefilter").alias("reasons"))
-    late = judged.where(F.size("reasons") > 0).select(F.col("canonical").alias("url"), "kind", F.lit("rules").alias("stage"), "reasons")
+    nothing = F.lit(None)
+    early = seen.where(~F.col("accepted") & signalled).select(
+        "university",
+        F.col("canonical").alias("url"),
+        F.col("kind").alias("page_kind"),
+        F.lit("prefilter").alias("stage"),
+        F.array("prefilter").alias("reasons"),
+        F.left("title", F.lit(SHOWN_TITLE)).alias("summary"),
+        nothing.cast("double").alias("field_match_score"),
+        nothing.cast("string").alias("funding_status"),
+    )
+    late = judged.where("not keep").select(
+        "university",
+        "url",
+        F.col("kind").alias("page_kind"),
+        F.when(F.col("d").isNull(), "llm").otherwise("rules").alias("stage"),
+        "reasons",
+        F.left(F.coalesce("d.summary", "error", F.lit("")), F.lit(SHOWN_SUMMARY)).alias("summary"),
+        F.col("d.field_score").alias("field_match_score"),
+        F.col("d.funding_status").alias("funding_status"),
+    )
     stats = seen.groupBy("kind", "prefilter").agg(F.count("*").alias("pages"), F.sum(F.col("accepted").cast("bigint")).alias("accepted"))
-    return records, early.unionByName(late), stats
+    return records, early.unionByName(late).select(*lx.REJECTION_COLUMNS), stats

@@ -41,7 +41,7 @@ def test_oracle(spark, duck, name):
 
 
 def test_flagship_merges_two_pages(spark):
-    rows = catalog.decision_pipeline(spark, SF).where("email like '%mini%' or email like '%example.org'").collect()
+    rows = catalog.QUERIES["decision_pipeline"](spark, SF).where("email like '%mini%' or email like '%example.org'").collect()
     assert [(r.email, r.funding_status, len(r.source_urls)) for r in rows] == [("ada@byron.example.org", "full", 2)]
 
 
@@ -78,13 +78,3 @@ def test_guard_stops_for_good(spark):
 def test_quote_threshold(spark):
     df = spark.createDataFrame([("a fully funded position", "there is a fully funded position"), ("a fully funded posxxx", "there is a fully funded position"), ("short", "short")], "q string, p string")
     assert [r.ok for r in df.select(tx.quote_on_page(F.col("q"), F.col("p")).alias("ok")).collect()] == [True, True, False]
-
-
-def test_line_dedup_compares_all_lines(spark, duck):
-    from pagesieve.llm import queries
-
-    df = queries.op9_line_dedup(spark, SF)
-    want = duck.execute(queries.oracle_sql()["op9_line_dedup"])
-    names = [c[0] for c in want.description]
-    got = sorted(map(tuple, df.select(*names).collect()))
-    assert got == sorted(want.fetchall()) and min(r[names.index("n_words")] for r in got) == 1
