@@ -78,6 +78,11 @@ def without_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 8)
     doc_id has to identify rows; rows without one keep their text. A column named removed is replaced.
     """
     spans = repeated_units(docs, unit=unit, min_words=min_words).where("doc_id is not null").select("doc_id", "start", "end").distinct()
+    return cut_out(docs, spans)
+
+
+def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs without the spans (doc_id, start, end) of their texts, each with the line break after it, and with removed array<struct<start, end>>."""
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     joined = docs.drop("removed").join(spans, "doc_id", "left")
     names = [c for c in docs.columns if c != "removed"]

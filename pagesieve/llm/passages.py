@@ -1,10 +1,13 @@
 """Passages that repeat anywhere in the corpus, whatever lines they stand in.
 
-A repeat is a run of ``words`` words (lower case, any white space between them) that stands at an earlier rank too;
-overlapping repeats join to maximal passages. Every run of that length is covered, without loss: its least digest of
-shorter word groups (winnowing) is the same wherever it stands, so that only runs whose least digest occurs twice can
-repeat. Those are compared by 128-bit digests: run by run, or, where all places of a least digest have the same
-surroundings, in one piece.
+Units are all runs of ``words`` words (lower case, any white space between them). Their digests are grouped over the
+whole corpus, the earliest ranked place (doc_id, start) stays, every other is removed, and overlapping ones join to
+maximal passages with original offsets.
+
+Not every run has to travel. A run's least digest of shorter word groups (winnowing) is the same wherever it
+stands, so that only runs whose least digest occurs twice can repeat. Runs in a row that share a least digest are a
+stretch; places whose stretches are equal form a class, and all but the earliest place of a class repeat it as a
+whole. Only that earliest one is compared run by run, by 128-bit digests, with the other classes of its least digest.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import id_text
+from .common import id_text, stored
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -89,53 +93,102 @@ class Text:
         return counts[np.searchsorted(values, self.least)]
 
 
+def _row(text: str) -> int:
+    """Tells texts under one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _least(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, powers = _Digests(), _Powers()
         for batch in batches:
-            ids, least, whole, places = [], [], [], []
+            ids, rows, least, whole, many, held = [], [], [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = Text(text, words, known, powers)
                 if t.n >= words:
                     ids += [i] * len(t.least)
+                    rows += [_row(text)] * len(t.least)
                     least.append(t.least.view(np.int64))
                     whole.append(t.digest(1, t.first, t.last + words).view(np.int64))
-                    places.append(t.places())
-            if ids:
-                columns = [pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (least, whole, places))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "least", "whole", "places"])
+                    many.append(t.places() > 1)
+                    held += len(t.least)
+                if held >= _BLOCK:
+                    yield _columns(_PLACES, (ids, rows, np.concatenate(least), np.concatenate(whole), np.concatenate(many)))
+                    ids, rows, least, whole, many, held = [], [], [], [], [], 0
+            if held:
+                yield _columns(_PLACES, (ids, rows, np.concatenate(least), np.concatenate(whole), np.concatenate(many)))
 
     return run
 
 
-def _runs(words: int):
-    names = ["doc_id", "row", "start", "end", "a", "b"]
+_PLACES = "doc_id long, row long, least long, whole long, many boolean"
+_CLASSES = "least long, whole long, n long, named long, rep_id long, rep_row long, many boolean"
+_RUNS = "doc_id long, row long, start long, end long, until long, a long, b long"
+
 
+def _columns(schema: str, columns: tuple) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+    named = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of a batch by class, so that a stretch that half of the texts share is a row per batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        ids, rows = t.column("doc_id"), t.column("row")
+        order = pa.compute.sort_indices(t, sort_keys=[("least", "ascending"), ("whole", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
+        least, whole = (t.column(c).take(order).to_numpy() for c in ("least", "whole"))
+        new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
+        sizes = np.diff(np.r_[new, len(least)])
+        named = np.add.reduceat(ids.is_valid().take(order).to_numpy().astype(np.int64), new)
+        many = np.logical_or.reduceat(t.column("many").take(order).to_numpy(), new)
+        at = pa.array(new)
+        # nulls stand last in their class
+        yield _columns(_CLASSES, (least[new], whole[new], sizes, named, ids.take(order).take(at).combine_chunks(), rows.take(order).take(at).combine_chunks(), many))
+
+
+def _zipped(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, powers = _Digests(), _Powers()
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            kept = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(t.split()) >= words]
+            blobs = [z.compress(t.encode("utf-8", "surrogatepass")) for _, t in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([_row(t) for _, t in kept], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "row", "blob"])
+
+    return run
+
+
+def _runs(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, powers, unzip = _Digests(), _Powers(), zstandard.ZstdDecompressor()
         for batch in batches:
             ids, rows, parts, held = [], [], [], 0
-            for i, text, single, whole in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for i, row, blob, dense, once in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                text = unzip.decompress(blob).decode("utf-8", "surrogatepass")
                 t = Text(text, words, known, powers)
                 if t.n < words:
                     continue
-                one = np.isin(t.least, np.array(single if single is not None else t.least.view(np.int64), np.int64).view(np.uint64))
-                all_ = np.isin(t.least, np.array(whole or [], np.int64).view(np.uint64))
-                spread = [np.arange(s, e + 1) for s, e in zip(t.first[one].tolist(), t.last[one].tolist(), strict=True)]
-                first = np.concatenate([*spread, t.first[all_]]).astype(np.int64)
-                last = np.concatenate([*spread, t.last[all_]]).astype(np.int64) + words
+                every = np.isin(t.least, np.array(dense, np.int64).view(np.uint64)) if dense is not None else np.ones(len(t.least), bool)
+                one = np.isin(t.least, np.array(once or [], np.int64).view(np.uint64)) & ~every
+                spread = [np.arange(s, e + 1) for s, e in zip(t.first[every].tolist(), t.last[every].tolist(), strict=True)]
+                first = np.concatenate([*spread, t.first[one]]).astype(np.int64)
+                last = np.concatenate([*spread, t.last[one]]).astype(np.int64)
                 if not len(first):
                     continue
                 at = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-                parts.append((at[first, 0], at[last - 1, 1], t.digest(0, first, last).view(np.int64), t.digest(1, first, last).view(np.int64)))
+                end = first + words
+                parts.append((at[first, 0], at[end - 1, 1], at[last + words - 1, 1], t.digest(0, first, end).view(np.int64), t.digest(1, first, end).view(np.int64)))
                 ids += [i] * len(first)
-                rows += [xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(first)
+                rows += [row] * len(first)
                 held += len(first)
                 if held >= _BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))], names)
+                    yield _columns(_RUNS, (ids, rows, *(np.concatenate(c) for c in zip(*parts, strict=True))))
                     ids, rows, parts, held = [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))], names)
+                yield _columns(_RUNS, (ids, rows, *(np.concatenate(c) for c in zip(*parts, strict=True))))
 
     return run
 
@@ -148,22 +201,65 @@ def repeated_passages(docs: DataFrame, *, words: int = 50) -> DataFrame:
     and empty texts and empty tables give no rows; other columns are ignored.
     """
     texts = id_text(docs)
-    # all the places of a least digest, and of a run below, move once and are looked at in order
-    found = texts.mapInArrow(_least(words), "doc_id long, least long, whole long, places long")
+    places = stored(texts.mapInArrow(_least(words), _PLACES), "passage-places")
+    classes = places.mapInArrow(_combined, _CLASSES).repartition("least").groupBy("least", "whole")
+    rep = F.min(F.when(F.col("rep_id").isNotNull(), F.struct("rep_id", "rep_row"))).alias("rep")
+    classes = classes.agg(F.sum("n").alias("n"), F.sum("named").alias("named"), rep, F.max("many").alias("many"))
     same = W.partitionBy("least")
-    seen = {"n": F.count("*"), "named": F.count("doc_id"), "most": F.max("places"), "low": F.min("whole"), "high": F.max("whole")}
-    found = found.withColumns({k: v.over(same) for k, v in seen.items()}).where("n > 1 or most > 1")
-    found = found.select("doc_id", "least", F.expr("most = 1 and low = high and named = n").alias("alike"))
-    lists = found.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("alike"), F.col("least"))).alias("single"), F.collect_set(F.when(F.col("alike"), F.col("least"))).alias("whole"))
-    # rows without an id cannot be looked up: all their runs are compared one by one, and so are those of others like them
-    unnamed = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("single"), F.lit(None).cast("array<bigint>").alias("whole"))
-    asked = texts.join(lists, "doc_id").select("doc_id", "text", "single", "whole").unionAll(unnamed)
-    runs = asked.mapInArrow(_runs(words), "doc_id long, row long, start long, end long, a long, b long")
-    runs = runs.withColumn("keep", F.first(F.struct("doc_id", "row", "start", "end")).over(W.partitionBy("a", "b").orderBy(F.col("doc_id").asc_nulls_last(), "start", "row", "end")))
-    again = runs.where("not (doc_id <=> keep.doc_id and row = keep.row) or start >= keep.end")
-    order = W.partitionBy("doc_id", "row").orderBy("start", "end")
-    opened = F.coalesce(F.col("start") >= F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
-    again = again.select("doc_id", "row", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start")).distinct()
-    again = again.withColumn("opened", opened.cast("int")).withColumn("passage", F.sum("opened").over(order))
-    out = again.groupBy("doc_id", "row", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("keep_doc_id", "keep_start"), F.struct("start", "end")).alias("keep"))
+    seen = {"kinds": F.count("*"), "total": F.sum("n"), "known": F.sum("named"), "any_many": F.max("many")}
+    info = classes.withColumns({k: v.over(same) for k, v in seen.items()}).where("total > 1 or any_many")
+    info = stored(info.select("least", "whole", "rep", F.expr("kinds > 1 or known < total").alias("apart"), F.col("any_many").alias("many")), "passage-classes")
+    at = places.where("doc_id is not null").select("doc_id", "row", "least", "whole").join(info, ["least", "whole"])
+    dense = F.expr("many or (apart and doc_id = rep.rep_id and row = rep.rep_row)")
+    lists = at.groupBy("doc_id", "row").agg(F.collect_set(F.when(dense, F.col("least"))).alias("dense"), F.collect_set(F.when(~dense, F.col("least"))).alias("once"))
+    packed = texts.mapInArrow(_zipped(words), "doc_id long, row long, blob binary")
+    # rows without an id cannot be looked up: all their runs are compared, and so are those of others like them
+    none = F.lit(None).cast("array<bigint>")
+    unnamed = packed.where("doc_id is null").select("doc_id", "row", "blob", none.alias("dense"), none.alias("once"))
+    asked = packed.join(lists, ["doc_id", "row"]).select("doc_id", "row", "blob", "dense", "once").unionAll(unnamed)
+    runs = stored(asked.mapInArrow(_runs(words), _RUNS), "passage-runs")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start", "end")
+    keep = runs.groupBy("a", "b").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("not (keep <=> other)").select("a", "b", "keep")
+    again = runs.join(keep, ["a", "b"]).where("not (doc_id <=> keep.doc_id and row = keep.row) or start >= keep.end")
+    again = again.select("doc_id", "row", "start", "end", "until", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
+    order = W.partitionBy("doc_id", "row").orderBy("start", "end", "until")
+    opened = F.coalesce(F.col("start") >= F.max("until").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    again = again.withColumn("opened", opened.cast("int")).withColumn("passage", F.sum("opened").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min_by(F.struct("keep_doc_id", "keep_start"), F.struct("start", "end")).alias("keep")
+    out = again.groupBy("doc_id", "row", "passage").agg(F.min("start").alias("start"), F.max("until").alias("end"), first)
     return out.select("doc_id", "start", "end", "keep.keep_doc_id", "keep.keep_start")
+
+
+def without_passages(docs: DataFrame, *, words: int = 50) -> DataFrame:
+    """docs with the repeated passages cut out of text, plus removed array<struct<start, end>> in original offsets.
+
+    doc_id has to identify rows; rows without one keep their text. A column named removed is replaced.
+    """
+    from .linededup import cut_out
+
+    spans = repeated_passages(docs, words=words).where("doc_id is not null").select("doc_id", "start", "end").distinct()
+    return cut_out(docs, spans)
+
+
+def passages_sql(words: int) -> str:
+    """DuckDB SQL for repeated_passages(documents): all runs by their digest, the earliest place first, islands of the rest."""
+    return f"""
+with cut as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as parts from documents),
+tokens as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as k from cut),
+placed as (select doc_id, part, k, sum(length(part)) over (partition by doc_id order by k) as e from tokens),
+listed as (
+  select doc_id, list(lower(part) order by k) as ws, list(e - length(part) order by k) as starts, list(e order by k) as ends
+  from placed where not regexp_matches(part, '[\x20\x09-\x0D]') group by doc_id),
+runs as (
+  select doc_id, starts[i]::bigint as s, ends[i + {words - 1}]::bigint as e, md5(array_to_string(ws[i:i + {words - 1}], ' ')) as digest
+  from (select *, unnest(range(1, len(ws) - {words - 2})) as i from listed where len(ws) >= {words})),
+ranked as (
+  select *, first_value(doc_id) over w as keep_doc_id, first_value(s) over w as keep_start, first_value(e) over w as keep_end
+  from runs window w as (partition by digest order by doc_id, s)),
+again as (select * from ranked where doc_id <> keep_doc_id or s >= keep_end),
+marked as (
+  select *, case when s < max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as opened from again),
+grouped as (select *, sum(opened) over (partition by doc_id order by s, e rows unbounded preceding) as passage from marked)
+select doc_id, min(s) as start, max(e) as "end", arg_min(keep_doc_id, s) as keep_doc_id, arg_min(keep_start, s) as keep_start
+from grouped group by doc_id, passage"""

@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cws, gif, linededup, mixing, neardup, packing, passages, quality, secretscan, tokencount, toxicity
+from . import cws, gif, mixing, neardup, packing, passages, quality, secretscan, tokencount, toxicity
 from .common import documents
 
 TOKENIZERS = os.environ.get("PAGESIEVE_TOKENIZERS", "/opt/tokenizers")
-REPEAT_WORDS = 1
+REPEAT_WORDS = 50
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +51,8 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(documents(spark, sf_dir))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_units(documents(spark, sf_dir), unit="line", min_words=REPEAT_WORDS)
-
-
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(documents(spark, sf_dir))
+    return passages.repeated_passages(documents(spark, sf_dir), words=REPEAT_WORDS)
 
 
 def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +66,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_near_duplicates, op2_toxicity, op3_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_quality, op8_gif_media, op9_line_dedup, op9_passage_dedup, op10_weighted_sampling)
+    ops = (op1_minhash_near_duplicates, op2_toxicity, op3_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_quality, op8_gif_media, op9_passage_dedup, op10_weighted_sampling)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": linededup.lines_sql(REPEAT_WORDS)}
+    return {"op9_passage_dedup": passages.passages_sql(REPEAT_WORDS)}
