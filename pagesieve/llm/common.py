@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_own: dict[str, str] = {}
+from ..sources.shared import shared_dir, stored
+
+__all__ = ["documents", "few", "id_text", "shared_dir", "stored", "union_all"]
+_ROWS_PER_FILE = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,27 +21,9 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset and everything runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault("dir", tempfile.mkdtemp(prefix="pagesieve-"))
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives lost executors.
-
-    Files are deleted when the application ends, since lazy results may still read them until then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df of at most so many rows in no more partitions than they need: a small table is one file, not one per shuffle partition."""
+    return df.coalesce(max(1, -(-rows // _ROWS_PER_FILE)))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

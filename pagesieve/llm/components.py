@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import few, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hop = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(hop.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        # edges never grow in number
+        e = stored(few(hop.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), before[0]), "cc")
         now = _signature(e)
         if now == before:
             break

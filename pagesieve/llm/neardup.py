@@ -10,7 +10,7 @@ star edges whose ends are still apart. After that a bucket can only hide a link
 sets in two or more components. Of those, shingles that only one set holds are counted: a set of n shingles,
 m of them held by others too, shares at most m with any, which rules out sets with many edits of their own.
 Buckets that still hold sets apart from each other form families (sets connected by buckets). Round three
-compares, in blocks of 256 sets, those outside a family's largest component with the whole family; a block
+compares, in blocks of 1,024 sets and 4 MB of compressed text at most, those outside a family's largest component with the whole family; a block
 pair is one matrix product and emits only links that join components. So no cap applies and no pairs are
 listed, and members that star edges have linked already cost nothing more.
 
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import id_text, stored
 from .components import connected
@@ -35,7 +35,8 @@ from .components import connected
 BANDS, ROWS, SHINGLE = 40, 5, 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WORDS_KEPT = 300_000
-_BLOCK = 256
+_BLOCK_ROWS, _BLOCK_BYTES = 1024, 4 << 20
+_SALTS = 16
 
 
 class WordHashes(dict):
@@ -113,13 +114,17 @@ def _signatures(size: int, bands: int, rows: int):
                     h = _mix(h * _A + sig[:, j])
                 buckets.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "buckets"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), batch.column(2)],
+                ["doc_id", "n_shingles", "digest", "buckets", "text_digest"],
             )
 
     return run
 
 
+def _text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -164,11 +169,17 @@ def _between(able: DataFrame, texts: DataFrame, size: int, share: Fraction) -> D
     """Links (u, v) that join components of a family. able: bucket, node, c (its component)."""
     low = able.groupBy("bucket").agg(F.min("node").alias("v"))
     family = connected(able.join(low, "bucket").select(F.col("node").alias("u"), "v")).select("node", F.col("component").alias("family"))
-    sets = able.select("node", "c").distinct().join(family, "node")
+    sizes = texts.groupBy("node").agg(F.max(F.octet_length("blob")).alias("size"))
+    sets = able.select("node", "c").distinct().join(family, "node").join(sizes, "node")
     sets = stored(sets, "neardup-families")
-    parts = sets.groupBy("family", "c").agg(F.count("*").alias("k"))
-    about = parts.groupBy("family").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("all"))
-    about = about.where("inside < all").withColumns({"xs": F.ceil((F.col("all") - F.col("inside")) / _BLOCK), "ys": F.ceil(F.col("inside") / _BLOCK)})
+    parts = sets.groupBy("family", "c").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
+    about = parts.groupBy("family").agg(
+        F.max_by(F.struct("c", "k", "size"), F.struct("k", -F.col("c"))).alias("m"), F.sum("k").alias("all"), F.sum("size").alias("bytes")
+    )
+    blocks = lambda k, size: F.greatest(F.ceil(k / _BLOCK_ROWS), F.ceil(size / _BLOCK_BYTES), F.lit(1))
+    about = about.where("m.k < all").select(
+        "family", F.col("m.c").alias("main"), blocks(F.col("all") - F.col("m.k"), F.col("bytes") - F.col("m.size")).alias("xs"), blocks(F.col("m.k"), F.col("m.size")).alias("ys")
+    )
     sets = sets.join(about, "family").withColumn("x", F.col("c") != F.col("main"))
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("x"), F.col("xs")).otherwise(F.col("ys"))))
     sets = sets.select("node", "c", "family", "x", "block", "xs", "ys").join(texts, "node")
@@ -224,23 +235,31 @@ def _block_links(size: int, share: Fraction):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id) for every row.
 
-    Words are maximal runs outside ASCII white space, A-Z lower-cased; a set holds the distinct shingles, a
-    shorter text is one shingle, and a text without words (null or empty) has no set, links with nothing and
-    is kept. Rows that share a doc_id count as one document. Rows with a null doc_id get the class of
-    documents with an equal set, else null, and are kept only in the latter case. An empty table gives an empty
-    result; other columns are ignored.
+    Options: similarity (0.8), shingle_words (5), bands (40), rows (5). Words are maximal runs outside ASCII white space,
+    A-Z lower-cased; a set holds the distinct shingles, a shorter text is one shingle, and a text without words (null or
+    empty) has no set, links with nothing and is kept. Rows that share a doc_id count as one document: each has the class
+    of its own text, in which all texts of the id take part. Rows with a null doc_id get the class of documents with an
+    equal set, else null, and are kept only in the latter case. An empty table gives an empty result; other columns are
+    ignored.
     """
+    return _classes(docs, **options).drop("digest", "text_digest")
+
+
+def _classes(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates() with digest (of the set) and text_digest."""
     share = Fraction(similarity).limit_denominator(1000)
     base = id_text(docs)
-    rows_ = stored(base.mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, buckets array<long>"), "neardup-rows")
+    rows_ = stored(base.withColumn("text_digest", _text_digest(F.col("text"))).mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, buckets array<long>, text_digest binary"), "neardup-rows")
     # one node per distinct set, named by its smallest doc_id
     sets = rows_.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     sets = stored(sets, "neardup-sets")
     in_bands = sets.where("node is not null").select("node", "n", F.explode("buckets").alias("bucket"))
+    # written by itself, so that the join with it can split a bucket that many sets share
     centres = in_bands.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("top")).where("c.node < top").select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    centres = stored(centres, "neardup-centres")
     fits = F.least("n", "centre_n") * share.denominator >= F.greatest("n", "centre_n") * share.numerator
     # members of buckets with two sets or more; the centres themselves included
     members = stored(in_bands.join(centres, "bucket"), "neardup-members")
@@ -276,8 +295,12 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words:
         comps = extend(confirmed(rest))
     # pairs without a centre: only in buckets that still hold members apart from each other
     def unsettled(df: DataFrame) -> DataFrame:
-        bad = df.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        return df.join(bad, "bucket")
+        # counted within salts first, and joined by salt: a bucket that many sets share is no single task's
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)))
+        part = salted.groupBy("bucket", "_salt").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        bad = part.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+        bad = bad.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("_salt"))
+        return salted.join(bad, ["bucket", "_salt"]).drop("_salt")
 
     mixed = stored(unsettled(labelled(members.where("node <> centre").select("bucket", "node", "n"), comps, "node", "c")), "neardup-mixed")
     # shingles that no other of these sets holds bound what a set can share with any of them
@@ -291,20 +314,27 @@ def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle_words:
         comps = extend(_between(able, texts, shingle_words, share))
 
     labels = labelled(sets.select("digest", "node"), comps, "node", "component_id").select("digest", "component_id")
-    out = rows_.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
+    out = rows_.select("doc_id", "n_shingles", "digest", "text_digest").join(labels, "digest", "left")
     component = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest", "text_digest")
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: one document of each near-duplicate class, all columns kept.
+    """The rows of docs that stay: one of each near-duplicate class, all columns kept.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id cannot be told apart and all stay.
+    That is a row of the class's smallest doc_id, of several texts under that id the one of least digest, of equal rows
+    one. Texts without words form a class per doc_id. Rows with a null doc_id stay, one per set, where no document
+    with an id has an equal set.
     """
-    marks = stored(near_duplicates(docs, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("_times")), "neardup-marks")
-    kept = marks.where("doc_id is not null").select("doc_id")
+    marks = _classes(docs, **options).where("kept")
+    group = F.struct("component_id", F.when(F.col("component_id").isNull() | F.col("digest").isNull(), F.coalesce("digest", "text_digest")))
+    kept = marks.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_digest")).alias("one"), F.count("*").alias("times"))
+    kept = stored(kept.select("one.doc_id", "one.text_digest", "times"), "neardup-marks")
+    rows = docs.withColumn("_text_digest", _text_digest(docs["text"]))
     # the same merge join at every size: no table of kept ids is ever sent to all executors
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    if not marks.where("doc_id is not null and _times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionAll(docs.where("doc_id is null"))
+    marked = kept.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_text_digest")).hint("merge")
+    same = (rows["_text_digest"] == marked["_text_digest"]) & rows["doc_id"].cast("long").eqNullSafe(marked["_id"])
+    out = rows.join(marked, same, "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_text_digest"])
+    return out.select(docs.columns)

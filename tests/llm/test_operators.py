@@ -326,3 +326,31 @@ def test_keys_behind_paths_and_around_base_spans(spark):
     clean = [r.text for r in secretscan.redacted(frame(spark, texts), f"{TOK}/byte_bpe_50k.tiktoken").orderBy("doc_id").collect()]
     assert not any(k in t for k, t in zip(keys, clean, strict=False))
     assert part not in clean[len(keys)] and clean[-3:] == plain
+
+
+def test_one_per_class_with_repeated_ids(spark):
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    def left(rows):
+        texts, ids = [t for _, t in rows], [i for i, _ in rows]
+        return sorted((r.doc_id or -1, r.text) for r in neardup.one_per_class(frame(spark, texts, ids)).collect())
+
+    # a copy of 3 goes although its id has another text, and what stays does not depend on other documents
+    assert left([(3, a), (7, b), (7, a)]) == [(3, a), (7, b)]
+    assert left([(3, a), (7, b), (7, a), (9, "x y z"), (9, "x y z"), (7, b)]) == [(3, a), (7, b), (9, "x y z")]
+    # without an id a text stays once, and not beside an equal one with an id
+    assert left([(None, a), (None, a), (None, b), (7, b)]) == [(-1, a), (7, b)]
+    assert left([(1, ""), (2, ""), (2, ""), (None, None)]) == [(-1, None), (1, ""), (2, "")]
+
+
+def test_families_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_BLOCK_ROWS", 7)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.randint(4, 9)):
+            w[rng.randrange(100)] = rng.choice("abcdefgh")
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), shingle_words=4).collect()}
+    assert got == brute(list(enumerate(texts)))
