@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -139,7 +140,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         t = pa.Table.from_batches([batch])
         ids, rows = t.column("doc_id"), t.column("row")
-        order = pa.compute.sort_indices(t, sort_keys=[("least", "ascending"), ("whole", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
+        order = pc.sort_indices(t, sort_keys=[("least", "ascending"), ("whole", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
         least, whole = (t.column(c).take(order).to_numpy() for c in ("least", "whole"))
         new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
         sizes = np.diff(np.r_[new, len(least)])
