@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import shared_dir, stored
 
-__all__ = ["documents", "few", "id_text", "shared_dir", "stored", "union_all"]
+__all__ = ["documents", "few", "free_name", "id_text", "shared_dir", "stored", "union_all"]
 _ROWS_PER_FILE = 250_000
 
 
@@ -21,6 +21,14 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """df of at most so many rows in no more partitions than they need: a small table is one file, not one per shuffle partition."""
     return df.coalesce(max(1, -(-rows // _ROWS_PER_FILE)))

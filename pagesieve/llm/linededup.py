@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text, stored
+from .common import free_name, id_text, stored
 
 _CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -83,7 +83,7 @@ def without_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 8)
 
 def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without the spans (doc_id, start, end) of their texts, each with the line break after it, and with removed array<struct<start, end>>."""
-    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(held := free_name(docs, "spans")))
     joined = docs.drop("removed").join(spans, "doc_id", "left")
     names = [c for c in docs.columns if c != "removed"]
 
@@ -100,7 +100,7 @@ def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 out.append(text if not end else "".join([*parts, text[end:]]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], [*names, "removed"])
 
-    joined = joined.select(*names, F.coalesce("_spans", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("removed"))
+    joined = joined.select(*names, F.coalesce(held, F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("removed"))
     return joined.mapInArrow(cut, joined.schema)
 
 

@@ -29,7 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text, stored
+from .common import free_name, id_text, stored
 from .components import connected
 
 BANDS, ROWS, SHINGLE = 40, 5, 5
@@ -165,10 +165,23 @@ def _confirm(size: int, share: Fraction):
     return run
 
 
+def _with_ends(df: DataFrame, column: str, apart: bool = False) -> DataFrame:
+    """df (bucket, node) with lo and hi, the least and greatest value of the column in the bucket; apart: only where they differ.
+
+    Counted within salts first and joined by salt: a bucket that many sets share is no single task's.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)))
+    part = salted.groupBy("bucket", "_salt").agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    ends = part.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = ends.where("lo < hi") if apart else ends
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("_salt")
+    return salted.join(ends.select("bucket", "lo", "hi", every).hint("merge"), ["bucket", "_salt"]).drop("_salt")
+
+
 def _between(able: DataFrame, texts: DataFrame, size: int, share: Fraction) -> DataFrame:
     """Links (u, v) that join components of a family. able: bucket, node, c (its component)."""
-    low = able.groupBy("bucket").agg(F.min("node").alias("v"))
-    family = connected(able.join(low, "bucket").select(F.col("node").alias("u"), "v")).select("node", F.col("component").alias("family"))
+    low = _with_ends(able, "node").select(F.col("node").alias("u"), F.col("lo").alias("v"))
+    family = connected(low).select("node", F.col("component").alias("family"))
     sizes = texts.groupBy("node").agg(F.max(F.octet_length("blob")).alias("size"))
     sets = able.select("node", "c").distinct().join(family, "node").join(sizes, "node")
     sets = stored(sets, "neardup-families")
@@ -295,12 +308,7 @@ def _classes(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = S
         comps = extend(confirmed(rest))
     # pairs without a centre: only in buckets that still hold members apart from each other
     def unsettled(df: DataFrame) -> DataFrame:
-        # counted within salts first, and joined by salt: a bucket that many sets share is no single task's
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)))
-        part = salted.groupBy("bucket", "_salt").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-        bad = part.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-        bad = bad.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("_salt"))
-        return salted.join(bad, ["bucket", "_salt"]).drop("_salt")
+        return _with_ends(df, "c", apart=True).drop("lo", "hi")
 
     mixed = stored(unsettled(labelled(members.where("node <> centre").select("bucket", "node", "n"), comps, "node", "c")), "neardup-mixed")
     # shingles that no other of these sets holds bound what a set can share with any of them
@@ -330,11 +338,12 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
     group = F.struct("component_id", F.when(F.col("component_id").isNull() | F.col("digest").isNull(), F.coalesce("digest", "text_digest")))
     kept = marks.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_digest")).alias("one"), F.count("*").alias("times"))
     kept = stored(kept.select("one.doc_id", "one.text_digest", "times"), "neardup-marks")
-    rows = docs.withColumn("_text_digest", _text_digest(docs["text"]))
+    digest = free_name(docs, "text_digest")
+    rows = docs.withColumn(digest, _text_digest(docs["text"]))
     # the same merge join at every size: no table of kept ids is ever sent to all executors
-    marked = kept.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_text_digest")).hint("merge")
-    same = (rows["_text_digest"] == marked["_text_digest"]) & rows["doc_id"].cast("long").eqNullSafe(marked["_id"])
+    marked = kept.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest")).hint("merge")
+    same = (rows[digest] == marked["_digest"]) & rows["doc_id"].cast("long").eqNullSafe(marked["_id"])
     out = rows.join(marked, same, "left_semi")
     if not kept.where("times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_text_digest"])
+        out = out.dropDuplicates(["doc_id", digest])
     return out.select(docs.columns)
