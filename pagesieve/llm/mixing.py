@@ -3,12 +3,13 @@
 A classifier fitted on the labelled table predicts, for every document, how likely it belongs to each domain:
 multinomial Bayes over letter frequencies, as if a text had ``evidence`` letters, so memberships stay soft.
 Projected gradient descent then fits a rate >= 0 per document, starting from 1, that minimises the squared
-relative difference between expected tokens by domain, sum(rate * tokens * posterior), and their targets.
+difference between expected tokens by domain, sum(rate * tokens * posterior), and their targets, each domain's
+divided by what it holds. Since posteriors add up to 1 per document, no direction is steeper than 1: that is the step.
 
 Everything is a DataFrame expression. A document's rate depends on its own posterior and on the sequence of
 domain residuals alone, so each step aggregates one number per domain over all documents and the rate is a
-fold of the residuals so far: no table of rates is written or joined, and only a few numbers per step reach the
-driver (domains are few: their number is checked).
+fold of the residuals so far: no table of rates is written or joined, and only a number per domain and step
+reaches the driver. With more than UNROLLED domains the same sums are taken by position instead of by column.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import free_name, stored
 
-MOST_DOMAINS = 64
+UNROLLED = 64
 # Fixed value: letters counted one by one; all other characters count together.
 LETTERS = "äöüßéèêçñóíwkhzujqpgbfmclrt"
 
@@ -61,13 +62,24 @@ class Model:
     steps: list[list[float]] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
+    missed: float = 0.0
 
     def posterior(self, counts: Column) -> Column:
         """An array with one share per domain; they add up to 1. A text without characters gets the priors."""
         n = len(LETTERS)
 
+        def rest(c: Column) -> Column:
+            """Counts of the letters, then of all other characters."""
+            letters = F.slice(c, 1, n)
+            return F.concat(letters, F.array(F.element_at(c, n + 1) - F.aggregate(letters, F.lit(0), lambda a, x: a + x)))
+
         def logs(c: Column) -> Column:
             size = F.element_at(c, n + 1)
+            if len(self.domains) > UNROLLED:
+                table = F.array(*(F.struct(F.lit(prior).alias("p"), F.array(*map(F.lit, share)).alias("w")) for prior, share in zip(self.prior, self.shares, strict=True)))
+                score = lambda part, d: F.aggregate(F.zip_with(part, d["w"], lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+                each_ = lambda part: F.transform(table, lambda d: d["p"] + F.when(size > 0, score(part, d) / size * F.lit(self.evidence)).otherwise(0.0))
+                return let(rest(c), each_)
             part = [F.element_at(c, i + 1) for i in range(n)]
             part.append(size - sum(part[1:], part[0]))
             each = []
@@ -90,7 +102,10 @@ class Model:
         history = F.array(*(F.array(*(F.lit(float(e)) for e in step)) for step in self.steps))
 
         def fold(p: Column) -> Column:
-            down = lambda e: sum((F.element_at(p, k + 1) * F.element_at(e, k + 1) for k in range(len(self.domains))), F.lit(0.0))
+            if len(self.domains) > UNROLLED:
+                down = lambda e: F.aggregate(F.zip_with(p, e, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+            else:
+                down = lambda e: sum((F.element_at(p, k + 1) * F.element_at(e, k + 1) for k in range(len(self.domains))), F.lit(0.0))
             return F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - down(e)))
 
         return let(posterior, fold)
@@ -101,9 +116,7 @@ def _fit_classifier(features: DataFrame, labels: DataFrame, evidence: float) ->
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     labelled = features.where("domain is not null").join(known, "doc_id", "left_semi")
     sums = [F.sum(F.element_at("counts", i + 1).cast("long")).alias(f"c{i}") for i in range(n + 1)]
-    rows = labelled.groupBy("domain").agg(F.count("*").alias("docs"), *sums).orderBy("domain").limit(MOST_DOMAINS + 1).collect()
-    if len(rows) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    rows = labelled.groupBy("domain").agg(F.count("*").alias("docs"), *sums).orderBy("domain").collect()
     rows = rows or [{"domain": "", "docs": 1, **{f"c{i}": 0 for i in range(n + 1)}}]
     total = sum(r["docs"] for r in rows)
     shares = []
@@ -115,41 +128,55 @@ def _fit_classifier(features: DataFrame, labels: DataFrame, evidence: float) ->
     return Model([r["domain"] for r in rows], [math.log(r["docs"] / total) for r in rows], shares, evidence)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, domain: str = "lang", weights: dict[str, float] | None = None, temper: float = 0.5, evidence: float = 60.0, steps: int = 40, tolerance: float = 1e-3) -> tuple[Model, DataFrame]:
+def _totals(table: DataFrame, rate: Column, domains: int) -> np.ndarray:
+    """Expected tokens by domain at that rate."""
+    if domains > UNROLLED:
+        each = table.select((F.col("tokens") * rate).alias("t"), F.posexplode("posterior").alias("k", "p"))
+        out = np.zeros(domains)
+        for r in each.groupBy("k").agg(F.sum(F.col("t") * F.col("p")).alias("s")).collect():
+            out[r.k] = r.s or 0.0
+        return out
+    p = [F.element_at("posterior", i + 1) for i in range(domains)]
+    row = table.agg(*(F.sum(F.col("tokens") * x * rate).alias(f"s{i}") for i, x in enumerate(p))).first()
+    return np.array([v or 0.0 for v in row], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, domain: str = "lang", weights: dict[str, float] | None = None, temper: float = 0.5, evidence: float = 60.0, steps: int = 200, tolerance: float = 1e-3) -> tuple[Model, DataFrame]:
     """The fitted model, and the stored table doc_id, tokens, posterior (array<double>) of every document.
 
     weights: target share of tokens by domain (of all tokens; normalised, absent domains 0); by default the
-    present expected shares to the power of temper, normalised.
+    present expected shares to the power of temper, normalised. Steps end where every domain is within the tolerance of its
+    target, where they no longer change anything (targets that no rates reach), or after so many; model.missed
+    says how far off the worst domain still is.
     """
     features = stored(_features(docs, domain), "mix-features")
     model = _fit_classifier(features, labels, evidence)
     table = stored(features.select("doc_id", "tokens", model.posterior(F.col("counts")).alias("posterior")), "mix-posteriors")
-    k = range(len(model.domains))
-    p = [F.element_at("posterior", i + 1) for i in k]
-    first = table.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in k), *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k if i <= j)).first()
-    whole = float(first["n"] or 0)
-    now = np.array([first[f"s{i}"] or 0.0 for i in k], float)
+    n = len(model.domains)
+    now = _totals(table, F.lit(1.0), n)
+    whole = float(now.sum())
     if weights is None:
         aim = np.where(now > 0, np.maximum(now, 1e-300) ** temper, 0)
     else:
         aim = np.array([weights.get(d, 0.0) for d in model.domains], float)
     aim = aim / aim.sum() * whole if aim.sum() > 0 else now
     model.targets, model.reached = aim.tolist(), now.tolist()
-    if whole == 0:
+    if whole <= 0:
         return model, table
-    gram = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in k] for i in k], float) / whole
-    # squared differences are weighted by the curvature of their domain; the step is one over the largest eigenvalue of the rest
-    scale = np.maximum(np.diag(gram), 1e-12)
-    step = 1 / np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale)))[-1]
+    # of all matrices sum(tokens * p * p') / scale with these row sums none has an eigenvalue above 1
+    scale = np.maximum(now, 1e-12 * whole)
+    within = tolerance * np.maximum(aim, 0.01 * whole)
     for _ in range(steps):
-        off = (now - aim) / whole
-        if np.all(np.abs(now - aim) <= tolerance * np.maximum(aim, 0.01 * whole)):
+        off = now - aim
+        if np.all(np.abs(off) <= within):
             break
-        model.steps.append((step * off / scale).tolist())
-        rate = model.rate(F.col("posterior"))
-        row = table.agg(*(F.sum(F.col("tokens") * p[i] * rate).alias(f"s{i}") for i in k)).first()
-        now = np.array(list(row), float)
-        model.reached = now.tolist()
+        model.steps.append((off / scale).tolist())
+        after = _totals(table, model.rate(F.col("posterior")), n)
+        model.reached, stuck = after.tolist(), np.abs(after - now).max() <= 1e-6 * whole
+        now = after
+        if stuck:
+            break
+    model.missed = float(np.max(np.abs(now - aim) / np.maximum(aim, 0.01 * whole)))
     return model, table
 
 
@@ -160,19 +187,21 @@ def copies(doc_id: Column, rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, tokens, domain (likeliest), posteriors ('name=share' joined by blanks), rate, copies for every row.
+    """doc_id, tokens, domain (likeliest), posteriors ('name=share' joined by blanks), rate, copies, missed for every row.
+
+    missed: the largest distance of a domain's expected tokens from their target after the fit, as a share of the target
+    (of 1% of all tokens at least); the same in all rows.
 
     Null and empty texts have 0 tokens and the prior memberships; they change no total and follow their rate all the same. Null
     ids share one draw. Without labelled documents there is one domain '' and all rates are 1. Repeated rows get equal rates;
     an empty table gives an empty result; other columns are ignored.
     """
     model, table = fit(docs, labels, **options)
-    p = [F.element_at("posterior", i + 1) for i in range(len(model.domains))]
     names = F.array(*(F.lit(d) for d in model.domains))
     best = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    shown = F.concat_ws(" ", *(F.concat(F.lit(f"{d}="), F.format_number(x, 4)) for d, x in zip(model.domains, p, strict=True)))
+    shown = F.array_join(F.zip_with(names, "posterior", lambda d, x: F.concat(d, F.lit("="), F.format_number(x, 4))), " ")
     rated = table.withColumn("rate", model.rate(F.col("posterior")))
-    return rated.select("doc_id", "tokens", best.alias("domain"), shown.alias("posteriors"), "rate", copies(F.col("doc_id"), F.col("rate")).alias("copies"))
+    return rated.select("doc_id", "tokens", best.alias("domain"), shown.alias("posteriors"), "rate", copies(F.col("doc_id"), F.col("rate")).alias("copies"), F.lit(model.missed).alias("missed"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -181,4 +210,4 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     low = F.lower(F.coalesce(docs["text"].cast("string"), F.lit("")))
     rate = model.rate(model.posterior(let(low, lambda t: F.array(*letter_counts(t)))))
     times = F.explode(F.array_repeat(F.lit(1), copies(docs["doc_id"].cast("long"), rate)))
-    return docs.select(*docs.columns, times.alias("_copy")).select(docs.columns)
+    return docs.select("*", times.alias(free_name(docs, "copy"))).select(docs.columns)
