@@ -9,9 +9,9 @@ smallest vocabulary score minus 10; neighbouring unknown pieces count as one; wi
 as their UTF-8 bytes instead.
 
 A text is one chunk per word: blanks become U+2581, one is put in front, and a chunk is a run of blanks
-with the characters up to the next blank. Vocabulary pieces with a blank after another character are
-refused, so no match crosses a chunk and the counts of chunks add up exactly. Counts of chunks already
-seen are remembered per task.
+with the characters up to the next blank, as the tokenizers' word splitting has it. Where words are not split and the
+vocabulary has pieces with a blank after another character, the whole text is one chunk. Counts of chunks
+already seen are remembered per task.
 """
 
 from __future__ import annotations
@@ -30,16 +30,17 @@ from .common import id_text
 BLANK = "▁"
 _UNKNOWN_PENALTY = 10.0
 _REMEMBERED = 400_000
+_CROSSING = regex.compile(f"[^{BLANK}]{BLANK}")
+_SPACE = regex.compile("[ \n\t\r]")
 
 
 class UnigramCounter:
-    """Counts pieces; vocabulary: piece -> score."""
+    """Counts pieces; vocabulary: piece -> score. split_words: whether no piece may cross the start of a word."""
 
-    def __init__(self, vocabulary: dict[str, float], *, byte_fallback: bool = False) -> None:
+    def __init__(self, vocabulary: dict[str, float], *, byte_fallback: bool = False, split_words: bool = True) -> None:
         self.automaton = ahocorasick.Automaton()
+        self.whole = not split_words and any(map(_CROSSING.search, vocabulary))
         for piece, value in vocabulary.items():
-            if regex.search(f"[^{BLANK}]{BLANK}", piece):
-                raise ValueError(f"piece {piece!r} has a blank after another character")
             if piece:
                 self.automaton.add_word(piece, (len(piece), value))
         self.automaton.make_automaton()
@@ -75,7 +76,7 @@ class UnigramCounter:
     def count(self, text: str) -> int:
         """Pieces of a text; '' has none."""
         total, known = 0, self.known
-        for c in _chunks(text):
+        for c in [BLANK + _SPACE.sub(BLANK, text)] if self.whole and text else _chunks(text):
             k = known.get(c)
             if k is None:
                 if len(known) >= _REMEMBERED:
@@ -99,17 +100,17 @@ def _chunks(text: str) -> list[str]:
 def zipf_vocabulary(model_file: str) -> dict[str, float]:
     """Unigram scores for the pieces of a SentencePiece file: by Zipf's law, minus the logarithm of the rank.
 
-    Control, unknown and byte pieces are left out, and so are pieces with a blank after another character.
+    Control, unknown and byte pieces are left out.
     """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    ranked = dict.fromkeys(p for p in pieces if not regex.search(f"[^{BLANK}]{BLANK}", p))
+    ranked = dict.fromkeys(pieces)
     return {p: -math.log(rank + 2.7) for rank, p in enumerate(ranked)}
 
 
-def token_counts(docs: DataFrame, model_file: str, *, byte_fallback: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, *, byte_fallback: bool = False, split_words: bool = True) -> DataFrame:
     """doc_id, n_tokens, n_chars (code points), n_words for every row; null and empty texts have 0 of each.
 
     model_file is read on the driver; the vocabulary (some 32,000 pieces) travels with the tasks. Rows
@@ -118,7 +119,7 @@ def token_counts(docs: DataFrame, model_file: str, *, byte_fallback: bool = Fals
     vocabulary = docs.sparkSession.sparkContext.broadcast(zipf_vocabulary(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(vocabulary.value, byte_fallback=byte_fallback)
+        counter = UnigramCounter(vocabulary.value, byte_fallback=byte_fallback, split_words=split_words)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             arrays = [pa.array([f(t) for t in texts], pa.int64()) for f in (counter.count, len, lambda t: len(t.split()))]
