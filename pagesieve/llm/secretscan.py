@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+SHORTEST = 16
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
@@ -73,20 +73,20 @@ def excluded(run: str) -> bool:
     return bool(_UUID.match(run) or _IDENTIFIER.match(run) or _CAMEL.match(run))
 
 
-def _windows(run: str) -> set[tuple[int, int]]:
-    """The run, and for each of its parts between separators the shortest sequences of parts of 16+ characters from it and up to it."""
+def _windows(run: str, shortest: int) -> set[tuple[int, int]]:
+    """The run, and for each of its parts between separators the shortest sequences of parts from it and up to it that are long enough."""
     parts = [m.span() for m in _PART.finditer(run)]
     out = {(0, len(run))}
     to = back = 0
     for k, (start, end) in enumerate(parts):
         to = max(to, k)
-        while to < len(parts) and parts[to][1] - start < 16:
+        while to < len(parts) and parts[to][1] - start < shortest:
             to += 1
         if to < len(parts):
             out.add((start, parts[to][1]))
-        while back < k and end - parts[back + 1][0] >= 16:
+        while back < k and end - parts[back + 1][0] >= shortest:
             back += 1
-        if end - parts[back][0] >= 16:
+        if end - parts[back][0] >= shortest:
             out.add((parts[back][0], end))
     return out
 
@@ -102,8 +102,8 @@ def _free(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[
         yield start, end
 
 
-def random_spans(text: str, base: list[Span], enc: tiktoken.Encoding, ratio: float, seen: dict[str, bool]) -> list[Span]:
-    """Joined windows of 16+ key characters with letters and digits, or both cases, at most ratio characters per token, outside base spans."""
+def random_spans(text: str, base: list[Span], enc: tiktoken.Encoding, ratio: float, seen: dict[str, bool], shortest: int = SHORTEST) -> list[Span]:
+    """Joined windows of so many key characters and more with letters and digits, or both cases, at most ratio characters per token, outside base spans."""
 
     def judged(run: str) -> bool:
         verdict = seen.get(run)
@@ -117,15 +117,15 @@ def random_spans(text: str, base: list[Span], enc: tiktoken.Encoding, ratio: flo
         return verdict
 
     out: list[Span] = []
-    for m in _RUN.finditer(text):
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{shortest},}}", text):
         taken = [(s.start, s.end) for s in base if s.start < m.end() and m.start() < s.end]
         taken += [(m.start() + k.start(), m.start() + k.end()) for k in _KNOWN.finditer(m[0]) if excluded(k[0])]
         for start, end in _free(m.start(), m.end(), taken):
             run = text[start:end]
-            if end - start < 16 or excluded(run):
+            if end - start < shortest or excluded(run):
                 continue
             last = -1
-            for s, e in sorted(_windows(run)):
+            for s, e in sorted(_windows(run, shortest)):
                 if judged(run[s:e]):
                     if s < last:
                         last = max(last, e)
@@ -136,14 +136,14 @@ def random_spans(text: str, base: list[Span], enc: tiktoken.Encoding, ratio: flo
     return out
 
 
-def _find(vocabulary: tuple, ratio: float):
+def _find(vocabulary: tuple, ratio: float, shortest: int):
     ranks, pattern = vocabulary
     enc = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
     seen: dict[str, bool] = {}
 
     def spans(text: str) -> tuple[list[Span], list[Span]]:
         base = base_spans(text)
-        return base, sorted(base + random_spans(text, base, enc, ratio, seen))
+        return base, sorted(base + random_spans(text, base, enc, ratio, seen, shortest))
 
     return spans
 
@@ -155,16 +155,18 @@ def _vocabulary(docs: DataFrame, vocabulary_file: str) -> tuple:
     return docs.sparkSession.sparkContext.broadcast(ranks), PATTERN
 
 
-def scan(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2) -> DataFrame:
+def scan(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for every row.
 
-    Positions count code points, ends are exclusive. Null and empty texts have no spans (empty string, and its
+    Added spans are runs of letters, digits and + / _ = - of at least ``shortest`` characters (a dot or any other sign ends
+    a run: it joins words in prose and names) with at most ``ratio`` characters per token. Shorter strings are not told from
+    words by this test. Positions count code points, ends are exclusive. Null and empty texts have no spans (empty string, and its
     sha256). Rows repeat as given, other columns are ignored, and an empty table gives an empty result.
     """
     vocabulary = _vocabulary(docs, vocabulary_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _find(vocabulary, ratio)
+        find = _find(vocabulary, ratio, shortest)
         for batch in batches:
             counts, digests, spans = [[], [], [], []], [], []
             for text in batch.column(1).to_pylist():
@@ -178,7 +180,7 @@ def scan(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2) -> DataFr
     return id_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
-def redacted(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, shortest: int = SHORTEST, mark: str = "[secret]") -> DataFrame:
     """docs with each secret span of text replaced by mark (overlapping spans by one); all other columns and rows as given.
 
     Of an assigned value the whole match goes. Null texts stay null.
@@ -197,7 +199,7 @@ def redacted(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, mark:
         return "".join([*out, text[end:]]) if end else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _find(vocabulary, ratio)
+        find = _find(vocabulary, ratio, shortest)
         for batch in batches:
             texts = pa.array([clean(t, find) for t in batch.column(at).to_pylist()], pa.string())
             columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns)]
