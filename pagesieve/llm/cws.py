@@ -125,7 +125,10 @@ def hexed(f: np.ndarray | None) -> str:
 
 
 def fingerprints(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal, 4 digits per sample; '' for texts without words) for every row. Other columns are ignored."""
+    """doc_id, fingerprint (hexadecimal, 4 digits per sample; '' for texts without words) for every row.
+
+    Null texts are empty; rows repeat as given; an empty table gives an empty result; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sampler(samples)
