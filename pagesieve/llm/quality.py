@@ -261,7 +261,10 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, all columns as given: scored in the pass that filters them, without a join."""
+    """The rows of docs that the classifier keeps, all columns as given: scored in the pass that filters them, without a join.
+
+    Handling of nulls, empty texts, repeats and labels is that of score(); columns of any other name pass through.
+    """
     model = train(docs, labels, feature_table(docs), **options)
     names = docs.columns
     at = tuple(names.index(c) if c in names else -1 for c in ("text", "lang", "source", "n_chars"))

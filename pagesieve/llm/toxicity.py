@@ -243,6 +243,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_positiv
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_ordinary: int = 5000) -> Model:
+    """A model of the labelled documents outside the held-out fold (crc32 of the id mod 4 is 2), at most so many per class, by hash.
+
+    Of conflicting labels of one id toxic counts; null labels and ids, and labels of unknown documents, are ignored. Without
+    labels of both classes every score is the base rate or 0.
+    """
     sample = labelled_sample(docs, labels, "toxic", max_toxic, max_ordinary)
     return fit([(text, y, fold(i) == 3) for i, text, y in sample])
 
