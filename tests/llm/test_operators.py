@@ -138,6 +138,31 @@ def test_gif_round_trips():
         assert gif.read_back(gif.store(p))[0] == p
 
 
+def bits_decode(stream, bits, most):
+    """GIF LZW read code by code, bit by bit: a plain second decoder."""
+    number, table, out, at, width = int.from_bytes(stream, "little"), {}, b"", 0, bits + 1
+    clear, end, last = 1 << bits, (1 << bits) + 1, None
+    while at + width <= 8 * len(stream):
+        code = number >> at & ((1 << width) - 1)
+        at += width
+        if code == clear:
+            table, width, last = {i: bytes((i,)) for i in range(clear)}, bits + 1, None
+            size = end + 1
+            continue
+        if code == end:
+            break
+        entry = table[code] if code in table else last + last[:1]
+        out += entry
+        if last is not None and size < 4096:
+            table[size] = last + entry[:1]
+            size += 1
+        if size == 1 << width and width < 12:
+            width += 1
+        last = entry
+    return out[:most]
+
+
+
 def test_gif_disposal_and_transparency():
     red, pal = np.zeros((2, 2), np.uint8), np.array([[255, 0, 0], [0, 255, 0], [0, 0, 255], [9, 9, 9]], np.uint8)
     spot = np.array([[1]], np.uint8)
