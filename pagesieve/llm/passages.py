@@ -17,16 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import id_text, stored
+from .common import id_text, mapped
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_REMEMBERED = 500_000
+_REMEMBERED = 100_000
 _BLOCK = 200_000
 
 
@@ -99,11 +98,21 @@ def _row(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+_CLASSES = "least long, whole long, n long, many boolean, rep struct<last: boolean, doc_id: bigint, row: bigint>, docs array<struct<doc_id: bigint, row: bigint>>"
+_RUNS = "doc_id long, row long, start long, end long, until long, a long, b long, copies array<struct<doc_id: bigint, row: bigint, start: bigint, until: bigint>>"
+
+
+def _lists(offsets: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
 def _least(words: int):
+    """Places by class: what half of the texts share is a row per batch, with the documents that hold it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, powers = _Digests(), _Powers()
         for batch in batches:
-            ids, rows, least, whole, many, held = [], [], [], [], [], 0
+            ids, rows, least, whole, many = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = Text(text, words, known, powers)
                 if t.n >= words:
@@ -112,43 +121,25 @@ def _least(words: int):
                     least.append(t.least.view(np.int64))
                     whole.append(t.digest(1, t.first, t.last + words).view(np.int64))
                     many.append(t.places() > 1)
-                    held += len(t.least)
-                if held >= _BLOCK:
-                    yield _columns(_PLACES, (ids, rows, np.concatenate(least), np.concatenate(whole), np.concatenate(many)))
-                    ids, rows, least, whole, many, held = [], [], [], [], [], 0
-            if held:
-                yield _columns(_PLACES, (ids, rows, np.concatenate(least), np.concatenate(whole), np.concatenate(many)))
+            if ids:
+                yield _classes(ids, rows, *map(np.concatenate, (least, whole, many)))
 
     return run
 
 
-_PLACES = "doc_id long, row long, least long, whole long, many boolean"
-_CLASSES = "least long, whole long, n long, named long, rep_id long, rep_row long, many boolean"
-_RUNS = "doc_id long, row long, start long, end long, until long, a long, b long"
-
-
-def _columns(schema: str, columns: tuple) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_()}
-    named = [c.split() for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
-
-
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of a batch by class, so that a stretch that half of the texts share is a row per batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        ids, rows = t.column("doc_id"), t.column("row")
-        order = pc.sort_indices(t, sort_keys=[("least", "ascending"), ("whole", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
-        least, whole = (t.column(c).take(order).to_numpy() for c in ("least", "whole"))
-        new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
-        sizes = np.diff(np.r_[new, len(least)])
-        named = np.add.reduceat(ids.is_valid().take(order).to_numpy().astype(np.int64), new)
-        many = np.logical_or.reduceat(t.column("many").take(order).to_numpy(), new)
-        at = pa.array(new)
-        # nulls stand last in their class
-        yield _columns(_CLASSES, (least[new], whole[new], sizes, named, ids.take(order).take(at).combine_chunks(), rows.take(order).take(at).combine_chunks(), many))
+def _classes(ids: list, rows: list, least: np.ndarray, whole: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    ids_, rows_ = pa.array(ids, pa.int64()), pa.array(rows, pa.int64())
+    missing, number = ids_.is_null().to_numpy(zero_copy_only=False), ids_.fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((rows_.to_numpy(), number, missing, whole, least))
+    least, whole, many = least[order], whole[order], many[order]
+    new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
+    ends = np.r_[new, len(least)]
+    ids_, rows_ = ids_.take(pa.array(order)), rows_.take(pa.array(order))
+    at = pa.array(new)
+    # nulls stand last in their class
+    rep = pa.StructArray.from_arrays([pa.array(missing[order][new]), ids_.take(at), rows_.take(at)], ["last", "doc_id", "row"])
+    columns = [pa.array(least[new]), pa.array(whole[new]), pa.array(np.diff(ends)), pa.array(np.logical_or.reduceat(many, new)), rep, _lists(ends, {"doc_id": ids_, "row": rows_})]
+    return pa.RecordBatch.from_arrays(columns, ["least", "whole", "n", "many", "rep", "docs"])
 
 
 def _zipped(words: int):
@@ -163,10 +154,12 @@ def _zipped(words: int):
 
 
 def _runs(words: int):
+    """Runs to compare: one by one, or the first of a stretch that is repeated as a whole, such copies in a row per batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, powers, unzip = _Digests(), _Powers(), zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, rows, parts, held = [], [], [], 0
+            parts, copies, held = [], [], 0
             for i, row, blob, dense, once in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 text = unzip.decompress(blob).decode("utf-8", "surrogatepass")
                 t = Text(text, words, known, powers)
@@ -174,26 +167,42 @@ def _runs(words: int):
                     continue
                 every = np.isin(t.least, np.array(dense, np.int64).view(np.uint64)) if dense is not None else np.ones(len(t.least), bool)
                 one = np.isin(t.least, np.array(once or [], np.int64).view(np.uint64)) & ~every
-                spread = [np.arange(s, e + 1) for s, e in zip(t.first[every].tolist(), t.last[every].tolist(), strict=True)]
-                first = np.concatenate([*spread, t.first[one]]).astype(np.int64)
-                last = np.concatenate([*spread, t.last[one]]).astype(np.int64)
-                if not len(first):
-                    continue
                 at = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-                end = first + words
-                parts.append((at[first, 0], at[end - 1, 1], at[last + words - 1, 1], t.digest(0, first, end).view(np.int64), t.digest(1, first, end).view(np.int64)))
-                ids += [i] * len(first)
-                rows += [row] * len(first)
-                held += len(first)
+                spread = [np.arange(s, e + 1) for s, e in zip(t.first[every].tolist(), t.last[every].tolist(), strict=True)]
+                for kind, first, last in ((parts, np.concatenate([*spread, np.zeros(0, np.int64)]).astype(np.int64), None), (copies, t.first[one], t.last[one])):
+                    if len(first):
+                        end, n = first + words, len(first)
+                        until = at[end - 1, 1] if last is None else at[last + words - 1, 1]
+                        kind.append(([i] * n, np.full(n, row), at[first, 0], at[end - 1, 1], until, t.digest(0, first, end).view(np.int64), t.digest(1, first, end).view(np.int64)))
+                        held += n
                 if held >= _BLOCK:
-                    yield _columns(_RUNS, (ids, rows, *(np.concatenate(c) for c in zip(*parts, strict=True))))
-                    ids, rows, parts, held = [], [], [], 0
-            if held:
-                yield _columns(_RUNS, (ids, rows, *(np.concatenate(c) for c in zip(*parts, strict=True))))
+                    yield from _run_rows(parts, copies)
+                    parts, copies, held = [], [], 0
+            yield from _run_rows(parts, copies)
 
     return run
 
 
+_RUN_NAMES = ["doc_id", "row", "start", "end", "until", "a", "b", "copies"]
+
+
+def _run_rows(parts: list[tuple], copies: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "row", "start", "until")]))
+    joined = lambda p: (pa.array([i for x in p for i in x[0]], pa.int64()), *(np.concatenate([x[k] for x in p]) for k in range(1, 7)))
+    if parts:
+        ids, *rest = joined(parts)
+        yield pa.RecordBatch.from_arrays([ids, *map(pa.array, rest), pa.nulls(len(ids), kind)], _RUN_NAMES)
+    if copies:
+        ids, row, start, end, until, a, b = joined(copies)
+        missing, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((start, row, number, missing, b, a))
+        ids = ids.take(pa.array(order))
+        row, start, end, until, a, b = (x[order] for x in (row, start, end, until, a, b))
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        lists = _lists(np.r_[new, len(a)], {"doc_id": ids, "row": pa.array(row), "start": pa.array(start), "until": pa.array(until)})
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(new)), *(pa.array(x[new]) for x in (row, start, end, until, a, b)), lists], _RUN_NAMES)
+
+
 def repeated_passages(docs: DataFrame, *, words: int = 50) -> DataFrame:
     """One row per passage to remove: doc_id, start, end (code points of the original text), keep_doc_id, keep_start (where its first run stays).
 
@@ -202,26 +211,26 @@ def repeated_passages(docs: DataFrame, *, words: int = 50) -> DataFrame:
     and empty texts and empty tables give no rows; other columns are ignored.
     """
     texts = id_text(docs)
-    places = stored(texts.mapInArrow(_least(words), _PLACES), "passage-places")
-    classes = places.mapInArrow(_combined, _CLASSES).repartition("least").groupBy("least", "whole")
-    rep = F.min(F.when(F.col("rep_id").isNotNull(), F.struct("rep_id", "rep_row"))).alias("rep")
-    classes = classes.agg(F.sum("n").alias("n"), F.sum("named").alias("named"), rep, F.max("many").alias("many"))
-    same = W.partitionBy("least")
-    seen = {"kinds": F.count("*"), "total": F.sum("n"), "known": F.sum("named"), "any_many": F.max("many")}
-    info = classes.withColumns({k: v.over(same) for k, v in seen.items()}).where("total > 1 or any_many")
-    info = stored(info.select("least", "whole", "rep", F.expr("kinds > 1 or known < total").alias("apart"), F.col("any_many").alias("many")), "passage-classes")
-    at = places.where("doc_id is not null").select("doc_id", "row", "least", "whole").join(info, ["least", "whole"])
-    dense = F.expr("many or (apart and doc_id = rep.rep_id and row = rep.rep_row)")
-    lists = at.groupBy("doc_id", "row").agg(F.collect_set(F.when(dense, F.col("least"))).alias("dense"), F.collect_set(F.when(~dense, F.col("least"))).alias("once"))
-    packed = texts.mapInArrow(_zipped(words), "doc_id long, row long, blob binary")
+    # a stretch that many texts share comes as a row per batch of texts, not per text
+    found = texts.transform(mapped, _least(words), _CLASSES)
+    stretch, same = W.partitionBy("least", "whole"), W.partitionBy("least")
+    rep = F.min("rep").over(stretch)
+    seen = {"rep": rep, "total": F.sum("n").over(same), "any_many": F.max("many").over(same), "low": F.min("whole").over(same), "high": F.max("whole").over(same), "unnamed": F.max(F.exists("docs", lambda d: d["doc_id"].isNull())).over(same)}
+    found = found.repartition("least").withColumns(seen).where("total > 1 or any_many")
+    at = found.select("least", "rep", "any_many", F.expr("low <> high or unnamed").alias("apart"), F.explode("docs").alias("d")).where("d.doc_id is not null")
+    dense = F.expr("any_many or (apart and d.doc_id = rep.doc_id and d.row = rep.row)")
+    lists = at.groupBy("d.doc_id", "d.row").agg(F.collect_set(F.when(dense, F.col("least"))).alias("dense"), F.collect_set(F.when(~dense, F.col("least"))).alias("once"))
+    packed = texts.transform(mapped, _zipped(words), "doc_id long, row long, blob binary")
     # rows without an id cannot be looked up: all their runs are compared, and so are those of others like them
     none = F.lit(None).cast("array<bigint>")
     unnamed = packed.where("doc_id is null").select("doc_id", "row", "blob", none.alias("dense"), none.alias("once"))
     asked = packed.join(lists, ["doc_id", "row"]).select("doc_id", "row", "blob", "dense", "once").unionAll(unnamed)
-    runs = stored(asked.mapInArrow(_runs(words), _RUNS), "passage-runs")
+    runs = asked.transform(mapped, _runs(words), _RUNS)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start", "end")
-    keep = runs.groupBy("a", "b").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("not (keep <=> other)").select("a", "b", "keep")
-    again = runs.join(keep, ["a", "b"]).where("not (doc_id <=> keep.doc_id and row = keep.row) or start >= keep.end")
+    runs = runs.withColumn("keep", F.min(place).over(W.partitionBy("a", "b")))
+    own = F.array(F.struct("doc_id", "row", "start", "until"))
+    again = runs.select("keep", F.expr("`end` - start").alias("size"), F.explode(F.coalesce("copies", own)).alias("x"))
+    again = again.select("x.*", (F.col("x.start") + F.col("size")).alias("end"), "keep").where("not (doc_id <=> keep.doc_id and row = keep.row) or start >= keep.end")
     again = again.select("doc_id", "row", "start", "end", "until", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
     order = W.partitionBy("doc_id", "row").orderBy("start", "end", "until")
     opened = F.coalesce(F.col("start") >= F.max("until").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
