@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text
+from .common import id_text, mapped
 
 SAMPLES = 64
 _SLOTS = 120_000
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
                 found = s.fingerprints([terms(t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(hexed, found), pa.string())], ["doc_id", "fingerprint"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return id_text(docs).transform(mapped, run, "doc_id long, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -169,11 +169,11 @@ def compared_with_edits(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame
     cuts = np.repeat(kept, np.where(times > 2, times, 1))
     shared = bool((times > 2).any())
     rows = base if shared else base.select("doc_id", F.lit("").alias("text"))
-    firsts = rows.mapInArrow(_blocked(cuts), "block int, doc_id long, hash long").groupBy("block").agg(F.min(F.struct("doc_id", "hash")).alias("first")).orderBy("block").collect()
+    firsts = rows.transform(mapped, _blocked(cuts), "block int, doc_id long, hash long").groupBy("block").agg(F.min(F.struct("doc_id", "hash")).alias("first")).orderBy("block").collect()
     ahead = {(r.first.doc_id, r.first.hash if shared else None): (r.block, firsts[i - 1].block) for i, r in enumerate(firsts)}
-    dealt = base.mapInArrow(_zipped(cuts, ahead, shared), "doc_id long, packed binary, block int, extra boolean, hash long")
+    dealt = base.transform(mapped, _zipped(cuts, ahead, shared), "doc_id long, packed binary, block int, extra boolean, hash long")
     dealt = dealt.repartition(partitions, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), "hash", "packed").select("doc_id", "packed", "block", "extra")
-    return dealt.mapInArrow(_walk(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.transform(mapped, _walk(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 _NULL = -(1 << 63)

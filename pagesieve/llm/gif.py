@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, mapped
 
 WIDTH, ROWS = 192, 256
 _SINGLES = {n: [bytes((i,)) for i in range(1 << n)] for n in range(1, 9)}
@@ -363,7 +363,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
                 of = pa.list_(pa.struct([("start", pa.int32()), ("delay", pa.int32()), ("rows", pa.int32()), ("histogram", pa.list_(pa.int32()))]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(frames, of)], ["doc_id", "n_bytes", "media", "frames"])
 
-    return id_text(docs).mapInArrow(run, f"doc_id long, n_bytes long, media binary, frames {kind}")
+    return id_text(docs).transform(mapped, run, f"doc_id long, n_bytes long, media binary, frames {kind}")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return id_text(docs).transform(mapped, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 FRAMES = "array<struct<start: int, delay: int, width: int, height: int, red: array<int>, green: array<int>, blue: array<int>>>"
@@ -425,4 +425,4 @@ def decoded_frames(media: DataFrame, *, column: str = "media", bins: int = 8) ->
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([f for f, _ in out], kind), pa.array([e for _, e in out], pa.string())], [*kept, "frames", "error"])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"frames {FRAMES}", "error string"]))
+    return source.transform(mapped, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"frames {FRAMES}", "error string"]))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name, id_text, stored
+from .common import free_name, id_text, mapped, stored
 
 _CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -64,7 +64,7 @@ def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 8) -
     of a row (equal doc_id and start) count as one occurrence, which all of them keep. A text that repeats a unit itself
     loses the later ones. Null and empty texts and empty tables give no rows; other columns are ignored.
     """
-    found = stored(id_text(docs).mapInArrow(_units(unit, min_words), "doc_id long, unit long, start long, end long, n_words long, digest binary"), "units")
+    found = stored(id_text(docs).transform(mapped, _units(unit, min_words), "doc_id long, unit long, start long, end long, n_words long, digest binary"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     # a digest is kept for the join only if it occurs at two places
     first = found.groupBy("digest").agg(F.min(rank).alias("keep"), F.max(rank).alias("other")).where("not (keep <=> other)").select("digest", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
@@ -101,7 +101,7 @@ def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], [*names, "removed"])
 
     joined = joined.select(*names, F.coalesce(held, F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("removed"))
-    return joined.mapInArrow(cut, joined.schema)
+    return joined.transform(mapped, cut, joined.schema)
 
 
 def lines_sql(min_words: int) -> str:

@@ -29,12 +29,12 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name, id_text, stored
+from .common import free_name, id_text, mapped, stored
 from .components import connected
 
 BANDS, ROWS, SHINGLE = 40, 5, 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 _BLOCK_ROWS, _BLOCK_BYTES = 1024, 4 << 20
 _SALTS = 16
 
@@ -265,7 +265,7 @@ def _classes(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = S
     """near_duplicates() with digest (of the set) and text_digest."""
     share = Fraction(similarity).limit_denominator(1000)
     base = id_text(docs)
-    rows_ = stored(base.withColumn("text_digest", _text_digest(F.col("text"))).mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, buckets array<long>, text_digest binary"), "neardup-rows")
+    rows_ = stored(base.withColumn("text_digest", _text_digest(F.col("text"))).transform(mapped, _signatures(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, buckets array<long>, text_digest binary"), "neardup-rows")
     # one node per distinct set, named by its smallest doc_id
     sets = rows_.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     sets = stored(sets, "neardup-sets")
@@ -279,13 +279,13 @@ def _classes(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = S
     stars = members.where(F.col("node") != F.col("centre")).where(fits).groupBy("node", "centre").agg(F.lit(1).alias("one"))
     stars = stored(stars.select(F.col("node").alias("u"), F.col("centre").alias("v")), "neardup-stars")
     ids = stars.select(F.explode(F.array("u", "v")).alias("node")).unionAll(members.where("node <> centre").select("node")).distinct()
-    texts = base.where("doc_id is not null").mapInArrow(_packed, "node long, blob binary")
+    texts = base.where("doc_id is not null").transform(mapped, _packed, "node long, blob binary")
     texts = stored(texts.join(ids, "node", "left_semi").dropDuplicates(["node", "blob"]), "neardup-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_u = pairs.join(texts.select(F.col("node").alias("u"), F.col("blob").alias("a")), "u")
         with_v = with_u.join(texts.select(F.col("node").alias("v"), F.col("blob").alias("b")), "v").select("u", "v", "a", "b")
-        return with_v.mapInArrow(_confirm(shingle_words, share), "u long, v long")
+        return with_v.transform(mapped, _confirm(shingle_words, share), "u long, v long")
 
     def labelled(df: DataFrame, comps: DataFrame, column: str, out: str) -> DataFrame:
         c = comps.select(F.col("node").alias(column), F.col("component").alias("_c"))
@@ -313,7 +313,7 @@ def _classes(docs: DataFrame, *, similarity: float = 0.8, shingle_words: int = S
     mixed = stored(unsettled(labelled(members.where("node <> centre").select("bucket", "node", "n"), comps, "node", "c")), "neardup-mixed")
     # shingles that no other of these sets holds bound what a set can share with any of them
     nodes = mixed.select("node").distinct()
-    held = texts.join(nodes, "node", "left_semi").mapInArrow(_exploded(shingle_words), "node long, shingle long")
+    held = texts.join(nodes, "node", "left_semi").transform(mapped, _exploded(shingle_words), "node long, shingle long")
     lone = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("lone"))
     able = mixed.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     able = able.where(F.col("shared") * share.denominator >= F.col("n") * share.numerator).select("bucket", "node", "c")

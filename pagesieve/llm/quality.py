@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import mapped, stored
 from .toxicity import _logistic, fold, labelled_sample
 
 N_TEXT, N_META = 13, 27
@@ -114,7 +114,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
 
-    return stored(_columns(docs).mapInArrow(run, "doc_id long, x array<float>"), "quality-features")
+    return stored(_columns(docs).transform(mapped, run, "doc_id long, x array<float>"), "quality-features")
 
 
 _CUT = {"t": slice(0, N_TEXT), "m": slice(N_TEXT, N_TEXT + N_META)}
@@ -155,7 +155,7 @@ def _cuts(free: DataFrame, mean: np.ndarray, scale: np.ndarray, fitted: dict, ha
             yield pa.RecordBatch.from_arrays(logits, ["t", "m"])
 
     least = math.log(sure / (1 - sure))
-    found = free.mapInArrow(run, "t double, m double").agg(*(F.percentile_approx(v, [confident, 1 - confident], 100_000).alias(v) for v in "tm")).first()
+    found = free.transform(mapped, run, "t double, m double").agg(*(F.percentile_approx(v, [confident, 1 - confident], 100_000).alias(v) for v in "tm")).first()
     return {v: (min(found[v][0], -least), max(found[v][1], least)) if found[v] else (-math.inf, math.inf) for v in "tm"}
 
 
@@ -188,7 +188,7 @@ def _refitted(free: DataFrame, mean: np.ndarray, scale: np.ndarray, z: np.ndarra
 
         # one row of some thousand sums per partition
         total = np.zeros(length)
-        for r in free.mapInArrow(run, "s array<double>").collect():
+        for r in free.transform(mapped, run, "s array<double>").collect():
             total += np.array(r.s)
         largest, first = 0.0, 0
         for v in "tm":
@@ -257,7 +257,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             t, m, s = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t), pa.array(m), pa.array(s), pa.array(s >= model.least)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return table.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return table.transform(mapped, run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -278,4 +278,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             x = np.array(rows, np.float32).astype(np.float64).reshape(-1, N_TEXT + N_META)
             yield batch.filter(pa.array(model.scores(x)[2] >= model.least))
 
-    return plain.mapInArrow(run, plain.schema)
+    return plain.transform(mapped, run, plain.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text
+from .common import id_text, mapped
 
 # The base patterns with the least length of the measured group, in order of kind.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, shortest:
                 spans.append(",".join(map(str, found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return id_text(docs).transform(mapped, run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, shortest: int = SHORTEST, mark: str = "[secret]") -> DataFrame:
@@ -208,4 +208,4 @@ def redacted(docs: DataFrame, vocabulary_file: str, *, ratio: float = 2.2, short
     kinds = dict(docs.dtypes)
     if kinds["text"] != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

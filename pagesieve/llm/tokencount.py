@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, mapped
 
 BLANK = "▁"
 _UNKNOWN_PENALTY = 10.0
@@ -125,4 +125,4 @@ def token_counts(docs: DataFrame, model_file: str, *, byte_fallback: bool = Fals
             arrays = [pa.array([f(t) for t in texts], pa.int64()) for f in (counter.count, len, lambda t: len(t.split()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_tokens", "n_chars", "n_words"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, n_chars long, n_words long").select("doc_id", "n_tokens", "n_chars", "n_words", F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")).alias("fertility"))
+    return id_text(docs).transform(mapped, run, "doc_id long, n_tokens long, n_chars long, n_words long").select("doc_id", "n_tokens", "n_chars", "n_words", F.when(F.col("n_words") > 0, F.col("n_tokens") / F.col("n_words")).alias("fertility"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard as z
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text
+from .common import id_text, mapped
 
 K = 6
 CUT = 0.3
@@ -267,6 +267,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w + model.bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(x[:, 0].astype(np.int32))], ["doc_id", "score", "advantage"])
 
-    out = id_text(docs).mapInArrow(run, "doc_id long, score double, advantage int")
+    out = id_text(docs).transform(mapped, run, "doc_id long, score double, advantage int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "advantage")
