@@ -154,12 +154,12 @@ def _zipped(words: int):
 
 
 def _runs(words: int):
-    """Runs to compare: one by one, or the first of a stretch that is repeated as a whole, such copies in a row per batch."""
+    """Runs to compare: one by one, or the first of a stretch that is repeated as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, powers, unzip = _Digests(), _Powers(), zstandard.ZstdDecompressor()
         for batch in batches:
-            parts, copies, held = [], [], 0
+            parts, held = [], 0
             for i, row, blob, dense, once in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 text = unzip.decompress(blob).decode("utf-8", "surrogatepass")
                 t = Text(text, words, known, powers)
@@ -169,16 +169,17 @@ def _runs(words: int):
                 one = np.isin(t.least, np.array(once or [], np.int64).view(np.uint64)) & ~every
                 at = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
                 spread = [np.arange(s, e + 1) for s, e in zip(t.first[every].tolist(), t.last[every].tolist(), strict=True)]
-                for kind, first, last in ((parts, np.concatenate([*spread, np.zeros(0, np.int64)]).astype(np.int64), None), (copies, t.first[one], t.last[one])):
-                    if len(first):
-                        end, n = first + words, len(first)
-                        until = at[end - 1, 1] if last is None else at[last + words - 1, 1]
-                        kind.append(([i] * n, np.full(n, row), at[first, 0], at[end - 1, 1], until, t.digest(0, first, end).view(np.int64), t.digest(1, first, end).view(np.int64)))
-                        held += n
+                spread = np.concatenate([*spread, np.zeros(0, np.int64)]).astype(np.int64)
+                first, last = np.concatenate([spread, t.first[one]]), np.concatenate([spread, t.last[one]])
+                if len(first):
+                    end, n = first + words, len(first)
+                    parts.append(([i] * n, np.full(n, row), at[first, 0], at[end - 1, 1], at[last + words - 1, 1], t.digest(0, first, end).view(np.int64), t.digest(1, first, end).view(np.int64)))
+                    held += n
                 if held >= _BLOCK:
-                    yield from _run_rows(parts, copies)
-                    parts, copies, held = [], [], 0
-            yield from _run_rows(parts, copies)
+                    yield _run_rows(parts)
+                    parts, held = [], 0
+            if held:
+                yield _run_rows(parts)
 
     return run
 
@@ -186,21 +187,22 @@ def _runs(words: int):
 _RUN_NAMES = ["doc_id", "row", "start", "end", "until", "a", "b", "copies"]
 
 
-def _run_rows(parts: list[tuple], copies: list[tuple]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "row", "start", "until")]))
-    joined = lambda p: (pa.array([i for x in p for i in x[0]], pa.int64()), *(np.concatenate([x[k] for x in p]) for k in range(1, 7)))
-    if parts:
-        ids, *rest = joined(parts)
-        yield pa.RecordBatch.from_arrays([ids, *map(pa.array, rest), pa.nulls(len(ids), kind)], _RUN_NAMES)
-    if copies:
-        ids, row, start, end, until, a, b = joined(copies)
-        missing, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-        order = np.lexsort((start, row, number, missing, b, a))
-        ids = ids.take(pa.array(order))
-        row, start, end, until, a, b = (x[order] for x in (row, start, end, until, a, b))
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        lists = _lists(np.r_[new, len(a)], {"doc_id": ids, "row": pa.array(row), "start": pa.array(start), "until": pa.array(until)})
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(new)), *(pa.array(x[new]) for x in (row, start, end, until, a, b)), lists], _RUN_NAMES)
+def _run_rows(parts: list[tuple]) -> pa.RecordBatch:
+    """One row per digest; where several runs have it, their places are in copies, the earliest in the row itself."""
+    ids = pa.array([i for x in parts for i in x[0]], pa.int64())
+    row, start, end, until, a, b = (np.concatenate([x[k] for x in parts]) for k in range(1, 7))
+    missing, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((start, row, number, missing, b, a))
+    ids = ids.take(pa.array(order))
+    row, start, end, until, a, b = (x[order] for x in (row, start, end, until, a, b))
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    sizes = np.diff(np.r_[new, len(a)])
+    listed = np.repeat(sizes > 1, sizes)
+    at = pa.array(np.flatnonzero(listed))
+    places = pa.StructArray.from_arrays([ids.take(at), *(pa.array(x[listed]) for x in (row, start, until))], ["doc_id", "row", "start", "until"])
+    offsets = np.r_[0, np.cumsum(np.where(sizes > 1, sizes, 0))]
+    copies = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), places, mask=pa.array(sizes == 1))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(new)), *(pa.array(x[new]) for x in (row, start, end, until, a, b)), copies], _RUN_NAMES)
 
 
 def repeated_passages(docs: DataFrame, *, words: int = 50) -> DataFrame:
@@ -229,13 +231,13 @@ def repeated_passages(docs: DataFrame, *, words: int = 50) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start", "end")
     runs = runs.withColumn("keep", F.min(place).over(W.partitionBy("a", "b")))
     own = F.array(F.struct("doc_id", "row", "start", "until"))
-    again = runs.select("keep", F.expr("`end` - start").alias("size"), F.explode(F.coalesce("copies", own)).alias("x"))
-    again = again.select("x.*", (F.col("x.start") + F.col("size")).alias("end"), "keep").where("not (doc_id <=> keep.doc_id and row = keep.row) or start >= keep.end")
-    again = again.select("doc_id", "row", "start", "end", "until", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
-    order = W.partitionBy("doc_id", "row").orderBy("start", "end", "until")
+    again = runs.select("keep", F.explode(F.coalesce("copies", own)).alias("x")).select("x.*", "keep")
+    again = again.where("not (doc_id <=> keep.doc_id and row = keep.row) or start >= keep.end")
+    again = again.select("doc_id", "row", "start", "until", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
+    order = W.partitionBy("doc_id", "row").orderBy("start", "until")
     opened = F.coalesce(F.col("start") >= F.max("until").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     again = again.withColumn("opened", opened.cast("int")).withColumn("passage", F.sum("opened").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    first = F.min_by(F.struct("keep_doc_id", "keep_start"), F.struct("start", "end")).alias("keep")
+    first = F.min_by(F.struct("keep_doc_id", "keep_start"), F.struct("start", "until")).alias("keep")
     out = again.groupBy("doc_id", "row", "passage").agg(F.min("start").alias("start"), F.max("until").alias("end"), first)
     return out.select("doc_id", "start", "end", "keep.keep_doc_id", "keep.keep_start")
 
