@@ -49,7 +49,7 @@ class _Page(HTMLParser):
         self.anchor: dict | None = None
 
     def _emit(self, s: str | None) -> None:
-        if self.stripped or self.within["head"]:
+        if self.stripped or self.within["head"] or self.within["title"]:
             return
         if not self.boilerplate:
             self.plain.append(s)

@@ -51,9 +51,11 @@ def write_records(records: DataFrame, folder: str, field: str, stamp: str) -> di
     """
     spark = records.sparkSession
     target = f"{folder}/_{stamp}"
-    place = en.numbered(records).select("*", urls.slug(F.col("university")).alias("_u"))
-    out = place.repartition("_u").sortWithinPartitions("_u", "rank")
-    out = cells(out, [*COLUMNS, "_u"]).withColumnRenamed(COLUMNS[0], BOM + COLUMNS[0])
+    rank = F.lpad(F.col("rank").cast("string"), 12, "0")
+    place = en.numbered(records).select("*", urls.slug(F.col("university")).alias("_u"), rank.alias("_rank"))
+    # ordered as the writer wants its folders, so that it does not order anew
+    out = cells(place, [*COLUMNS, "_u", "_rank"]).repartition("_u").sortWithinPartitions("_u", "_rank").drop("_rank")
+    out = out.withColumnRenamed(COLUMNS[0], BOM + COLUMNS[0])
     out.write.mode("overwrite").partitionBy("_u").options(header=True, **_CSV).csv(target)
     path, fs = _files(spark, target)
     path_of, copy = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.FileUtil.copy
