@@ -192,7 +192,7 @@ _PAUSE = "case when event_type = 'error' then 10.0 else 0.0 end"
 @query(f"""with recursive e as (select user_id, event_id, epoch_us(ts) / 1e6 - 1.7e9 as s, {_PAUSE} as pause, row_number() over (partition by user_id order by event_id) as n from events),
  t as (select user_id, event_id, n, s as start from e where n = 1 union all
   select e.user_id, e.event_id, e.n, greatest(e.s, t.start + 2.0 + e.pause) from t join e on e.user_id = t.user_id and e.n = t.n + 1)
- select user_id, event_id, round(start, 3) as start from t""")
+ select user_id, event_id, round(start * 1e6)::bigint as start_micros from t""")
 def host_spacing(spark, d):
     """Start of each request of a host: 2 s after the one before, and a pause more where there is one."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -200,7 +200,7 @@ def host_spacing(spark, d):
     r = table(spark, d, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), (micros / 1e6 - 1.7e9).alias("arrival"), pause.alias("pause"))
     # the first request waits for nothing
     r = r.withColumn("pause", F.when(F.col("seq") == F.min("seq").over(Window.partitionBy("host")), 0.0).otherwise(F.col("pause")))
-    return crawl.spaced(r, F.lit(2.0)).select(F.col("host").alias("user_id"), F.col("seq").alias("event_id"), F.round("start", 3).alias("start"))
+    return crawl.spaced(r, F.lit(2.0)).select(F.col("host").alias("user_id"), F.col("seq").alias("event_id"), F.round(F.col("start") * 1e6).cast("bigint").alias("start_micros"))
 
 
 
@@ -218,11 +218,11 @@ def rpm_audit(spark, d):
   select user_id, event_id, n, list_append(starts, start)[-3:], start from (
    select e.user_id, e.event_id, e.n, t.starts, case when len(t.starts) >= 3 and t.starts[-3] > greatest(e.s, t.start) - 60 then t.starts[-3] + 60.05 else greatest(e.s, t.start) end as start
    from t join e on e.user_id = t.user_id and e.n = t.n + 1))
- select event_id, round(start, 5) as start from t""")
+ select event_id, round(start * 1e6)::bigint as start_micros from t""")
 def rpm_schedule(spark, d):
     """Start of each call when at most three may begin in a minute."""
     r = table(spark, d, "events").select(F.col("user_id").alias("who"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1.7e9).alias("arrival"))
-    return crawl.minute_schedule(r, "who", 3).select(F.col("seq").alias("event_id"), F.round("start", 5).alias("start"))
+    return crawl.minute_schedule(r, "who", 3).select(F.col("seq").alias("event_id"), F.round(F.col("start") * 1e6).cast("bigint").alias("start_micros"))
 
 
 @query("select doc_id, (length(text) % 3 = 0) or sum(case when length(text) % 3 = 0 then 0 else 1 end) over (partition by source order by doc_id rows unbounded preceding) <= 20 as allowed from documents")

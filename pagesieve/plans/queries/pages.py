@@ -84,7 +84,10 @@ def link_score(spark, d):
 
 # --- parsing -----------------------------------------------------------------------------------------------------
 
-UNESCAPED = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&amp;": "&"}
+UNESCAPED = "{x}"
+for _k, _v in _ENTITIES.items():
+    UNESCAPED = f"replace({UNESCAPED}, {literal(_k)}, {literal(_v)})"
 
 
 def _plain(x: str) -> str:
