@@ -10,9 +10,9 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.shared import shared_dir, stored
+from ..sources.shared import discard, shared_dir, stored
 
-__all__ = ["documents", "few", "free_name", "id_text", "mapped", "shared_dir", "stored", "union_all"]
+__all__ = ["discard", "documents", "few", "free_name", "id_text", "mapped", "shared_dir", "stored", "union_all"]
 _ROWS_PER_FILE = 250_000
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import few, stored
+from .common import discard, few, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hop = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # edges never grow in number
-        e = stored(few(hop.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), before[0]), "cc")
+        last, e = e, stored(few(hop.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), before[0]), "cc")
+        discard(last)
         now = _signature(e)
         if now == before:
             break
