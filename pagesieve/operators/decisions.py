@@ -12,7 +12,11 @@ from ..functions import lexicons as lx, text as tx
 
 _PERSON = "struct<name: string, title: string, department: string, email: string, research_interests: array<string>, role: string>"
 _PEOPLE = f"array<{_PERSON}>"
-RAW = "struct<page_type: string, people: array<struct<name: string, title: string, department: string, email: string, research_interests: array<string>, role: string>>, position: struct<exists: string, degree_levels: array<string>, title: string, deadline: string, start_date: string, is_expired: string, evidence_quote: string>, funding: struct<status: string, source: string, evidence_quote: string>, field_match: struct<score: string, matched_topics: array<string>, rationale: string>, funding_confidence: string, summary: string>"
+_POSITION = "struct<exists: string, degree_levels: array<string>, title: string, deadline: string, start_date: string, is_expired: string, evidence_quote: string>"
+_FUNDING = "struct<status: string, source: string, evidence_quote: string>"
+_FIELD = "struct<score: string, matched_topics: array<string>, rationale: string>"
+#: A decision as a scorer gives it. Numbers and flags are read as strings first, since scorers write them in many ways.
+RAW = f"struct<page_type: string, people: {_PEOPLE}, position: {_POSITION}, funding: {_FUNDING}, field_match: {_FIELD}, funding_confidence: string, summary: string>"
 
 
 @dataclass(frozen=True)

@@ -137,7 +137,16 @@ def _text(parts: list[str | None]) -> str:
     return "\n".join(dict.fromkeys(x for x in lines if x))
 
 
-_SCHEMA = "title string, lang string, meta_robots array<string>, headings array<string>, text string, raw_text string, mailto array<string>, protected array<string>, links array<struct<href: string, url: string, anchor: string, nofollow: boolean>>"
+_LINK = pa.struct([("href", pa.string()), ("url", pa.string()), ("anchor", pa.string()), ("nofollow", pa.bool_())])
+_TEXTS, _LISTS = ("title", "lang", "text", "raw_text"), ("meta_robots", "headings", "mailto", "protected")
+_PARSED = pa.struct([*((c, pa.string()) for c in _TEXTS), *((c, pa.list_(pa.string())) for c in _LISTS), ("links", pa.list_(_LINK))])
+_SCHEMA = ", ".join(
+    [
+        *(f"{c} string" for c in _TEXTS),
+        *(f"{c} array<string>" for c in _LISTS),
+        "links array<struct<href: string, url: string, anchor: string, nofollow: boolean>>",
+    ]
+)
 
 
 def _parse(page: str, url: str) -> dict:
@@ -174,12 +183,11 @@ def parsed(pages: DataFrame) -> DataFrame:
     schema = _schema_of(source, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("title", pa.string()), ("lang", pa.string()), ("meta_robots", pa.list_(pa.string())), ("headings", pa.list_(pa.string())), ("text", pa.string()), ("raw_text", pa.string()), ("mailto", pa.list_(pa.string())), ("protected", pa.list_(pa.string())), ("links", pa.list_(pa.struct([("href", pa.string()), ("url", pa.string()), ("anchor", pa.string()), ("nofollow", pa.bool_())])))])
         for batch in batches:
             url = batch.column(batch.schema.names.index("url")).to_pylist()
             rows = [_parse(h or "", u or "") for h, u in zip(batch.column(batch.num_columns - 1).to_pylist(), url, strict=True)]
-            out = pa.array(rows, kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *out.flatten()], [*keep, *(f.name for f in kind)])
+            out = pa.array(rows, _PARSED)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *out.flatten()], [*keep, *(f.name for f in _PARSED)])
 
     return source.mapInArrow(run, schema)
 

@@ -9,8 +9,8 @@ from ...operators import crawl, html, replay, robots as rb
 from ...sources import config
 from ...sources.shared import stored
 from ...sources.snapshots import table
-from .base import CANON, DOMAINS, HOST, ORIGIN, PATH, QUERY, any_of, frame, link_score as score_sql, literal, query, values
-from .pages import FOLLOWED, PAGE_TEXT
+from .base import CANON, HOST, ORIGIN, PATH, QUERY, any_of, frame, link_score as score_sql, literal, query, values
+from .pages import FOLLOWED
 
 # --- robots ------------------------------------------------------------------------------------------------------
 
@@ -366,5 +366,3 @@ def list_sections(spark, d):
     """Universities, their sections and seeds, by slug."""
     return config.chosen_sections(_universities(spark), []).orderBy("slug", "position").select("slug", "section", "kind", "seed")
 
-
-__all__ = ["DOMAINS", "PAGE_TEXT"]

@@ -6,13 +6,12 @@ import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
-from ...functions import lexicons as lx, text as tx
+from ...functions import lexicons as lx
 from ...operators import classify as cl, decisions as dc, entities as en, replies as rp
 from ...sources import sinks
 from ...sources.snapshots import table
 from .. import pipeline as pl
-from .base import FIELDS, FUNDING, NEGATIVE, POSITION, PROFILE, TERMS, any_of, frame, literal, match_form, query, sentence_with, values
-from .base import PREFILTER
+from .base import FIELDS, FUNDING, NEGATIVE, POSITION, PREFILTER, PROFILE, TERMS, frame, literal, match_form, query, sentence_with, values
 from .pages import ANALYSED, CANON
 
 _LOW = "lower(text)"
@@ -349,5 +348,3 @@ def page_rejections(spark, d):
     rejected = pl.evaluate(table(spark, d, "pages"), PROFILE, today="2025-06-01", terms=TERMS)[1]
     return rejected.select("url", "page_kind", "stage", F.array_join("reasons", " ").alias("reasons"), "summary", F.round("field_match_score", 6).alias("score"), F.col("funding_status").alias("status"))
 
-
-__all__ = ["any_of", "tx"]

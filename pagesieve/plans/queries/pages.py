@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ...functions import lexicons as lx, text as tx, urls
+from ...functions import lexicons as lx, urls
 from ...operators import crawl, html
 from ...sources import snapshots
 from ...sources.snapshots import table
 from .. import pipeline as pl
-from .base import CANON, DOMAINS, FIELDS, FUNDING, HOST, NEGATIVE, ORIGIN, PATH, POSITION, PREFILTER, PROFILE, QUERY, TERMS, any_of, emails, frame, hits, link_score as score_sql, literal, ordered_distinct, query, values
+from .base import CANON, DOMAINS, FUNDING, HOST, NEGATIVE, ORIGIN, PATH, POSITION, PREFILTER, PROFILE, QUERY, TERMS, any_of, emails, frame, hits, link_score as score_sql, literal, ordered_distinct, query, values
 
 
 @query(f"select page_id, {CANON} as canonical from pages")
@@ -241,5 +241,3 @@ def fetch_answers(spark, d):
     named = f.select("page_id", "url")
     return out.join(named, "url").select("page_id", F.col("status").cast("int").alias("status"), "bytes", "truncated", "error", "final_url", "retry_after", "is_html")
 
-
-__all__ = ["ANALYSED", "FIELDS", "FOLLOWED", "LINKS", "PAGE_TEXT", "UNESCAPED"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import lexicons as lx, text as tx
 from ...operators import quotes as qt
 from ...sources.snapshots import table
-from .base import EMAIL, FIELDS, FUNDING, NEGATIVE, POSITION, PREFILTER, any_of, emails, frame, hits, literal, match_form, ordered_distinct, query, values
+from .base import EMAIL, FIELDS, FUNDING, NEGATIVE, POSITION, PREFILTER, emails, frame, hits, literal, match_form, ordered_distinct, query, values
 
 
 @query("""select doc_id, coalesce(string_agg(line, chr(10) order by k), '') as text from (
@@ -185,5 +185,3 @@ def csv_cells(spark, d):
     v = F.col("value")
     return both.select("value", tx.safe_cell(v).alias("cell"), tx.joined_cell(F.array(F.left(v, F.lit(1)), F.lit(""), F.lit(None), v)).alias("list"))
 
-
-__all__ = ["any_of"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import urls
 from ..operators import html
-from .config import ConfigError, mapping
+from .config import ConfigError
 
 LONGEST_ERROR = 500
 
@@ -110,4 +110,4 @@ def log_events(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", fixed).alias("e"), F.try_parse_json("value").alias("payload")).select("e.*", "payload")
 
 
-__all__ = ["ConfigError", "JsonSnapshot", "SOURCES", "Snapshot", "Source", "answers", "cached_replies", "header", "log_events", "mapping", "run_summary", "source", "table", "universities"]
+__all__ = ["ConfigError", "JsonSnapshot", "SOURCES", "Snapshot", "Source", "answers", "cached_replies", "header", "log_events", "run_summary", "source", "table", "universities"]
