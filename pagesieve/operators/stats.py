@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shared import discard, stored
+
 
 def timing_summary(timings: DataFrame, by: str, value: str) -> DataFrame:
     """Per key: count, total, avg, p95, max, rounded to 1 decimal. p95 is the element at round-half-even(0.95 (n - 1)) of the sorted values.
@@ -22,11 +24,18 @@ def timing_summary(timings: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def span_tree(spark: SparkSession, spans: str) -> DataFrame:
-    """run_id, span_id, depth, path of every span of the view, by a recursive query from the roots."""
-    return spark.sql(f"""
-        with recursive tree as (
-          select run_id, span_id, 0 as depth, cast(name as string) as path from {spans} where parent_span_id is null
-          union all
-          select s.run_id, s.span_id, t.depth + 1, concat(t.path, '/', s.name)
-          from {spans} s join tree t on s.parent_span_id = t.span_id and s.run_id = t.run_id)
-        select * from tree""")
+    """run_id, span_id, depth, path of every span of the view that a root leads to, level by level from the roots.
+
+    Each level is a join of the one before with all spans below others, and is written: neither the number of rows nor the depth
+    is limited, as both are in a recursive query. Ids are unique within their run.
+    """
+    rows = stored(spark.table(spans).select("run_id", "span_id", "parent_span_id", F.col("name").cast("string").alias("name")), "spans")
+    below = rows.where("parent_span_id is not null").select("run_id", F.col("parent_span_id").alias("span_id"), F.col("span_id").alias("_id"), "name")
+    level = stored(rows.where("parent_span_id is null").select("run_id", "span_id", F.lit(0).alias("depth"), F.col("name").alias("path")), "span-level")
+    levels = [level]
+    while not level.isEmpty():
+        path = F.concat("path", F.lit("/"), "name").alias("path")
+        level = stored(level.join(below, ["run_id", "span_id"]).select("run_id", F.col("_id").alias("span_id"), (F.col("depth") + 1).alias("depth"), path), "span-level")
+        levels.append(level)
+    discard(rows)
+    return spark.read.schema(levels[0].schema).parquet(*(x._stored_path for x in levels))
