@@ -1,6 +1,6 @@
 """Steps that used to break or differ as their tables grow."""
 
-from pagesieve.operators import stats
+from pagesieve.operators import html, stats
 
 
 def test_spans_of_any_number_and_depth(spark):
@@ -15,3 +15,11 @@ def test_spans_of_any_number_and_depth(spark):
         for k in limits:
             spark.conf.unset(k)
     assert got == {str(i): (i, "/".join(f"s{j}" for j in range(i + 1))) for i in range(12)}
+
+
+def test_only_whole_character_names_are_read(spark):
+    """A page whose title was cut within a reference: '&amp</h1>' is no '&'."""
+    page = '<html lang="en"><title>a&amp;b&amp</title><body><h1>a&amp;&am</h1><p>x &ampx; &#38; &copy; &copy2 &amp;amp</p><a href="/q?a=1&copy=2&amp;b=3">l</a></body>'
+    r = html.parsed(spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string")).first()
+    assert (r.title, r.headings, r.text) == ("a&b&amp", ["a&&am"], "a&&am\nx &ampx; & © &copy2 &amp\nl")
+    assert r.links[0].href == "/q?a=1&copy=2&b=3"
