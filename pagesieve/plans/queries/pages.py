@@ -236,8 +236,6 @@ def _fetches(spark, d) -> DataFrame:
  from (select *, page_id % 11 = 0 or page_id % 13 = 0 as lost from pages)""")
 def fetch_answers(spark, d):
     """Fetched bytes as a client reads them: cut, errors as status 0, final URL, kind of content."""
-    f = _fetches(spark, d)
-    out = snapshots.answers(f, max_bytes=_MOST_BYTES)
-    named = f.select("page_id", "url")
-    return out.join(named, "url").select("page_id", F.col("status").cast("int").alias("status"), "bytes", "truncated", "error", "final_url", "retry_after", "is_html")
+    out = snapshots.answers(_fetches(spark, d), max_bytes=_MOST_BYTES, keep=("page_id",))
+    return out.select("page_id", F.col("status").cast("int").alias("status"), "bytes", "truncated", "error", "final_url", "retry_after", "is_html")
 

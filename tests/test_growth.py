@@ -1,6 +1,7 @@
 """Steps that used to break or differ as their tables grow."""
 
 from pagesieve.operators import html, stats
+from pagesieve.plans import catalog
 
 
 def test_spans_of_any_number_and_depth(spark):
@@ -23,3 +24,10 @@ def test_only_whole_character_names_are_read(spark):
     r = html.parsed(spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string")).first()
     assert (r.title, r.headings, r.text) == ("a&b&amp", ["a&&am"], "a&&am\nx &ampx; & © &copy2 &amp\nl")
     assert r.links[0].href == "/q?a=1&copy=2&b=3"
+
+
+def test_an_answer_per_fetch_where_urls_repeat(spark, tmp_path):
+    rows = [(i, "https://a.example/x", f"<p>{i}") for i in (1, 2, 3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["fetch_answers"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.retry_after) for r in got) == [(1, 1.0), (2, 2.0), (3, 3.0)]
