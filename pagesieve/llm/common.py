@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.shared import discard, shared_dir, stored
+from ..sources.shared import Batches, discard, mapped, shared_dir, stored, trim
 
-__all__ = ["discard", "documents", "few", "free_name", "id_text", "mapped", "shared_dir", "stored", "union_all"]
+__all__ = ["Batches", "discard", "documents", "few", "free_name", "id_text", "mapped", "shared_dir", "stored", "trim", "union_all"]
 _ROWS_PER_FILE = 250_000
 
 
@@ -25,40 +21,6 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
-Batches = Iterator[pa.RecordBatch]
-#: Rows that go to a Python worker at once. Texts are long: the usual 10,000 would be tens of megabytes on both sides.
-BATCH_ROWS = "1000"
-
-
-def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in small batches, unless the session says otherwise, by workers that give back what they have freed.
-
-    Workers wait for their next task with all the memory that their last one had; of several kinds in a stage only
-    some work at a time.
-    """
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(key, "10000") == "10000":
-        conf.set(key, BATCH_ROWS)
-
-    def tidy(batches: Batches) -> Batches:
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim()
-
-    return df.mapInArrow(tidy, schema)
-
-
-def trim() -> None:
-    """Give free memory back to the system, where the C library can."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

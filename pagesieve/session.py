@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .sources.shared import small_batches
+
 _ROOT = Path(__file__).resolve().parent
 
 
@@ -25,7 +27,8 @@ def session(app: str = "pagesieve", master: str | None = None, shuffle_partition
 
 
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package through Spark's file server, once per application."""
+    """Give Python workers this package through Spark's file server, once per application, and small batches."""
+    small_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_pagesieve_shipped", False):
         return

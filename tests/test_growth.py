@@ -1,5 +1,7 @@
 """Steps that used to break or differ as their tables grow."""
 
+import pyarrow as pa
+
 from pagesieve.operators import html, stats
 from pagesieve.plans import catalog
 
@@ -31,3 +33,14 @@ def test_an_answer_per_fetch_where_urls_repeat(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalog.QUERIES["fetch_answers"](spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.retry_after) for r in got) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
+def test_a_worker_holds_few_pages_at_once(spark, monkeypatch):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    pages = [f"<title>{i}</title><p>{'word ' * 20_000}" if i != 3 else None for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "url": ["https://a.example/"] * 40, "html": pages})
+    out = list(html.parsed(df)(iter([batch])))
+    assert len(out) >= 4 and max(b.num_rows for b in out) <= 12
+    assert [r["page_id"] for b in out for r in b.to_pylist()] == list(range(40))
+    assert [r["title"] for b in out for r in b.to_pylist()] == [str(i) if i != 3 else "" for i in range(40)]
