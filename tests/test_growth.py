@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from pagesieve.operators import html, stats
+from pagesieve.operators import html, quotes, replay, stats
 from pagesieve.plans import catalog
 
 
@@ -44,3 +44,25 @@ def test_a_worker_holds_few_pages_at_once(spark, monkeypatch):
     assert len(out) >= 4 and max(b.num_rows for b in out) <= 12
     assert [r["page_id"] for b in out for r in b.to_pylist()] == list(range(40))
     assert [r["title"] for b in out for r in b.to_pylist()] == [str(i) if i != 3 else "" for i in range(40)]
+
+
+def test_a_crawl_gets_no_pages_beyond_its_scope(spark):
+    seeds = spark.createDataFrame([("a", 0, "https://a.example/", "s"), ("b", 0, "https://b.example/", "s")], "university string, position int, url string, section string")
+    domains = spark.createDataFrame([("a", "a.example"), ("b", "b.example")], "university string, domain string")
+    links = [("https://a.example/", 0, "https://b.example/x", 1), ("https://a.example/", 1, "https://a.example/y", 1), ("https://b.example/x", 0, "https://a.example/z", 1)]
+    answer = "url string, attempt int, status int, retry_after double, challenge boolean, final_url string, is_html boolean, noindex boolean, nofollow boolean"
+    fetches = spark.createDataFrame([("https://a.example/y", 0, 200, None, False, "https://a.example/moved", True, False, False)], answer)
+    robots = spark.createDataFrame([], "origin string, status int, body string")
+    nodes = replay.prepared(seeds, fetches, spark.createDataFrame(links, "source string, position int, url string, score int"), domains, robots, depth=1)
+    got = sorted((r.university, r.url) for r in nodes.collect())
+    assert got == [("a", "https://a.example/"), ("a", "https://a.example/moved"), ("a", "https://a.example/y"), ("b", "https://b.example/")]
+
+
+def test_a_page_leaves_the_quote_search_once(spark, monkeypatch):
+    quotes_ = spark.createDataFrame([(i, q) for i, q in enumerate(["one two three four", "two three four five", "three four five six"])], "quote_id long, quote string")
+    page = spark.createDataFrame([(7, "one two three four five six")], "doc_id long, text string")
+    kind, frames = type(page), []
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema: frames.append(own(self, run, schema)) or frames[-1])
+    assert sorted((r.quote_id, r.doc_id) for r in quotes.found(quotes_, page).collect()) == [(0, 7), (1, 7), (2, 7)]
+    assert frames[0].count() == 1
