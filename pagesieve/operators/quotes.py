@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..sources.shared import mapped
 
 #: Most patterns in one automaton; more quotes are looked for block by block.
 BLOCK = 200_000
@@ -56,14 +57,12 @@ def found(quotes: DataFrame, pages: DataFrame, threshold: float = 0.85, block: i
                 automaton.add_word(pattern, ids)
             automaton.make_automaton()
             for batch in batches:
-                docs, pages_, quotes_ = [], [], []
-                for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hit = {i for _, ids in automaton.iter(page or "") for i in ids} if len(automaton) else set()
-                    docs += [doc] * len(hit)
-                    pages_ += [page] * len(hit)
-                    quotes_ += sorted(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pages_, pa.string()), pa.array(quotes_, pa.int64())], ["doc_id", "page", "quote_id"])
+                # a page's text leaves once, with the numbers of its quotes
+                hits = [sorted({i for _, ids in automaton.iter(page.as_py() or "") for i in ids}) if len(automaton) else [] for page in batch.column(1)]
+                out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "page", "quotes"])
+                yield out.filter(pa.array([bool(x) for x in hits], pa.bool_()))
 
-        pairs = texts.mapInArrow(search, "doc_id long, page string, quote_id long")
+        some = mapped(texts, search, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, page string, quotes array<long>")
+        pairs = some.select("doc_id", "page", F.explode("quotes").alias("quote_id"))
         out = pairs if out is None else out.unionAll(pairs)
     return out.join(forms, "quote_id").where(tx.quote_on_page(F.col("q"), F.col("page"), threshold)).select("quote_id", "doc_id")
