@@ -1,7 +1,12 @@
 """Steps that used to break or differ as their tables grow."""
 
+import gc
+import weakref
+
+import pandas as pd
 import pyarrow as pa
 
+from pagesieve.functions import text
 from pagesieve.operators import html, quotes, replay, stats
 from pagesieve.plans import catalog
 
@@ -66,3 +71,15 @@ def test_a_page_leaves_the_quote_search_once(spark, monkeypatch):
     monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema: frames.append(own(self, run, schema)) or frames[-1])
     assert sorted((r.quote_id, r.doc_id) for r in quotes.found(quotes_, page).collect()) == [(0, 7), (1, 7), (2, 7)]
     assert frames[0].count() == 1
+
+
+def test_a_worker_lets_go_of_composed_texts():
+    gc.disable()
+    try:
+        batch = pd.Series(["\ufb01x", None, "e\u0301"])
+        held = weakref.ref(batch)
+        assert text.nfkc.func(batch).tolist() == ["fix", None, "\xe9"]
+        del batch
+        assert held() is None
+    finally:
+        gc.enable()
