@@ -5,6 +5,7 @@ import weakref
 
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from pagesieve.functions import text
 from pagesieve.operators import html, quotes, replay, stats
@@ -83,3 +84,23 @@ def test_a_worker_lets_go_of_composed_texts():
         assert held() is None
     finally:
         gc.enable()
+
+
+@pytest.mark.parametrize("name", ["frontier_exact"])
+def test_a_query_reads_few_pages_at_once(spark, monkeypatch, tmp_path, name):
+    """Its step over pages cuts what a worker holds, and asks the session for small batches."""
+    pages = [(i, f"https://a.example/{i}", f"<title>{i}</title><a href='/{i + 1}'>the one</a>") for i in range(8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    kind, steps = type(spark.range(0)), []
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema: steps.append((self.columns, run)) or own(self, run, schema))
+    limits = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for k in limits:
+        spark.conf.unset(k)
+    catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [spark.conf.get(k) for k in limits] == ["1000", "16m"]
+    (columns, run), *others = steps
+    assert not others
+    long = {"url": ["https://a.example/"] * 40, "html": [f"<p>{'word ' * 20_000}"] * 40}
+    out = list(run(iter([pa.RecordBatch.from_pydict({c: long.get(c, list(range(40))) for c in columns})])))
+    assert sum(b.num_rows for b in out) == 40 and max(b.num_rows for b in out) <= 12
