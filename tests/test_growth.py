@@ -86,7 +86,7 @@ def test_a_worker_lets_go_of_composed_texts():
         gc.enable()
 
 
-@pytest.mark.parametrize("name", ["frontier_exact", "frontier_levels"])
+@pytest.mark.parametrize("name", ["frontier_exact", "frontier_levels", "decision_pipeline"])
 def test_a_query_reads_few_pages_at_once(spark, monkeypatch, tmp_path, name):
     """Its step over pages cuts what a worker holds, and asks the session for small batches."""
     pages = [(i, f"https://a.example/{i}", f"<title>{i}</title><a href='/{i + 1}'>the one</a>") for i in range(8)]
