@@ -172,6 +172,20 @@ def test_frontier_in_order_equals_a_simulation(spark):
         assert got == simulated_frontier(seeds, links, budget, depth)
 
 
+def test_frontiers_of_several_sites_where_positions_repeat(spark):
+    """Pages that share a URL have links at the same positions, some to the same target with another score."""
+    rng = random.Random(7)
+    sites = ["a", "b", "c"]
+    seeds = {x: [(1, "u3"), (0, "u2"), (0, "u1")] for x in sites} | {"lone": [(0, "u9")]}
+    links = {x: [(f"u{rng.randrange(30)}", rng.randrange(3), f"u{rng.randrange(45)}", rng.randrange(-3, 6)) for _ in range(400)] for x in sites}
+    df = spark.createDataFrame([(x, *r) for x in sites for r in links[x]], "university string, source string, position int, url string, score int").repartition(7)
+    sd = spark.createDataFrame([(x, *r) for x, rows in seeds.items() for r in rows], "university string, position int, url string")
+    for budget, depth in ((1000, 6), (12, 2), (5, 0)):
+        got = crawl.frontier_in_order(sd, df, budget, depth).orderBy("visit").collect()
+        for x in seeds:
+            assert [(r.visit, r.url, r.depth, r.score) for r in got if r.university == x] == simulated_frontier(seeds[x], links.get(x, []), budget, depth)
+
+
 def test_registered_frontier_equals_a_simulation(spark):
     seeds = [(r.position, r.url) for r in crawling._seeds(spark, SF).collect()]
     links = [(r.source, r.position, r.url, r.score) for r in crawling.page_edges(spark, SF).collect()]

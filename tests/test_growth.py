@@ -1,6 +1,7 @@
 """Steps that used to break or differ as their tables grow."""
 
 import gc
+import tracemalloc
 import weakref
 
 import pandas as pd
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from pagesieve.functions import text
-from pagesieve.operators import html, quotes, replay, stats
+from pagesieve.operators import crawl, html, quotes, replay, stats
 from pagesieve.plans import catalog
 
 
@@ -104,3 +105,27 @@ def test_a_query_reads_few_pages_at_once(spark, monkeypatch, tmp_path, name):
     long = {"url": ["https://a.example/"] * 40, "html": [f"<p>{'word ' * 20_000}"] * 40}
     out = list(run(iter([pa.RecordBatch.from_pydict({c: long.get(c, list(range(40))) for c in columns})])))
     assert sum(b.num_rows for b in out) == 40 and max(b.num_rows for b in out) <= 12
+
+
+def test_a_frontier_holds_no_links_of_pages_that_it_does_not_visit(spark, monkeypatch):
+    kind, steps = type(spark.range(0)), []
+    own = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, run, schema: steps.append(run) or own(self, run, schema))
+    seeds = spark.createDataFrame([("x", 0, "s")], "university string, position int, url string")
+    links = spark.createDataFrame([("x", "s", 0, "t", 1)], "university string, source string, position int, url string, score int")
+    crawl.frontier_in_order(seeds, links, 3, 2)
+    (run,) = steps
+
+    def frames():
+        yield pd.DataFrame({"university": "x", "source": [None], "position": 0, "url": ["p000"], "score": 100})
+        for k in range(100):
+            yield pd.DataFrame({"university": "x", "source": f"p{k:03d}", "position": range(1000), "url": [f"p{k + 1:03d}", *(f"{k}-{i}" * 20 for i in range(999))], "score": [9] + [1] * 999})
+
+    tracemalloc.start()
+    try:
+        got = pd.concat(run(frames()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.values.tolist() == [["x", 0, "p000", 0, 100], ["x", 1, "p001", 1, 9], ["x", 2, "p002", 2, 9]]
+    assert peak < 5_000_000
